@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import archives, mixing, sharding, simhash, topk, toxicity
+from loomgraph.llm import archives, bpe, mixing, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ FROM s QUALIFY rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op5_toxicity, op7_topk, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op5_toxicity, op7_topk, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

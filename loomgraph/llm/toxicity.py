@@ -2,8 +2,8 @@
 
 Words, adjacent word pairs and pairs with one word between them are hashed to 64 bits, so that features hardly ever
 collide; a document has a feature or hasn't.  FTRL-proximal gives each coordinate its own learning rate and sets weights
-to exactly zero where the accumulated gradient stays within the L1 term.  Training rows are dealt to a fixed number of
-shards, each shard trains by itself, and the sparse models are averaged; the weights that are left are few enough to
+to exactly zero where the accumulated gradient stays within the L1 term.  Training rows are dealt to
+shards of a fixed expected size, each shard trains by itself, and the sparse models are averaged; the weights that are left are few enough to
 broadcast (``max_weights`` bounds them; beyond it fit() raises the L1 term and trains again).
 """
 
@@ -64,11 +64,12 @@ def grams(text: str | None, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
         tail = run[-2:]
 
 
-def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the rows in their order; features, weights, intercept."""
-    keys, inverse = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_inverse=True)
-    cuts = np.cumsum([len(r) for r in rows])[:-1] if rows else []
-    local = np.split(inverse, cuts) if rows else []
+def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int, share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over the rows in their order; features, weights, intercept.  Features that fewer than this share of
+    the rows have (three, at least) could only tell single rows apart: they are left out."""
+    keys, counts = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_counts=True)
+    keys = keys[counts >= max(3, share * len(rows))]
+    local = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     bias_z = bias_n = 0.0
 
@@ -110,12 +111,13 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 20_000,
-    shards: int = 8,
-    alpha: float = 0.3,
+    shard_rows: int = 5_000,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 2.0,
-    l2: float = 1.0,
-    epochs: int = 4,
+    l1: float = 14.0,
+    l2: float = 0.0,
+    epochs: int = 6,
+    share: float = 0.01,
     max_weights: int = 1_000_000,
 ) -> Weights:
     """Train on at most max_rows labelled documents (a documented bound: the model's classes are far simpler than it);
@@ -131,6 +133,7 @@ def fit(
 
     chosen = materialize(training_rows(labels, max_rows=max_rows), "toxicity-rows")  # max_rows bounds the broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shards = max(1, -(-chosen.count() // shard_rows))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(featurise, "doc_id long, y double, features array<long>")
     rows = materialize(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int")), "toxicity-features")
 
@@ -140,7 +143,7 @@ def fit(
             pdf = pdf.assign(first=[f[0] if len(f) else 0 for f in pdf["features"]])
             pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "first"])
             features = [np.asarray(f, np.int64).view(np.uint64) for f in pdf["features"]]
-            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs)
+            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs, share)
             keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
             return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
 
