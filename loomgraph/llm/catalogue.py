@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import archives, bpe, mixing, sharding, simhash, topk, toxicity
+from loomgraph.llm import archives, bpe, mixing, pii, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balanced_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ FROM s QUALIFY rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op5_toxicity, op7_topk, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op5_toxicity, op7_topk, op8_mixing, op9_pii, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,14 +114,15 @@ def fit(
     shard_rows: int = 5_000,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 14.0,
+    l1: float = 0.006,
     l2: float = 0.0,
     epochs: int = 6,
     share: float = 0.01,
     max_weights: int = 1_000_000,
 ) -> Weights:
     """Train on at most max_rows labelled documents (a documented bound: the model's classes are far simpler than it);
-    without any, all scores are those of an intercept of -3."""
+    without any, all scores are those of an intercept of -3.  l1 is for each row of a shard: a feature needs a gradient as
+    of that share of the rows to have a weight."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -143,7 +144,7 @@ def fit(
             pdf = pdf.assign(first=[f[0] if len(f) else 0 for f in pdf["features"]])
             pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "first"])
             features = [np.asarray(f, np.int64).view(np.uint64) for f in pdf["features"]]
-            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs, share)
+            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, max(4.0, l1 * len(pdf)), l2, epochs, share)
             keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
             return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
 
