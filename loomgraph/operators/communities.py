@@ -222,7 +222,7 @@ def louvain(g: PropertyGraph, gamma: float = 1.0, rounds: int = 8, levels: int =
     for at in range(levels):
         arcs = materialize(level.arcs().where("src <> dst"), "louvain-arcs")
         loops = level.edges.where("src = dst").groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("loop"))
-        total = level.edges.agg(F.sum("w").alias("W"))
+        total = level.edges.agg(F.sum("w").alias("total"))
         vol = level.vertices.join(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d")), "id", "left").join(loops, "id", "left")
         vol = materialize(vol.select("id", (F.coalesce("d", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("vol")), "louvain-volumes")
         labels, moved_any = level.vertices.select("id", F.col("id").alias("label")), False
@@ -233,9 +233,9 @@ def louvain(g: PropertyGraph, gamma: float = 1.0, rounds: int = 8, levels: int =
             own = to.join(labels, "id").where("to = label").select("id", F.col("w").alias("own"))
             here = named.join(parts, "label").join(own, "id", "left").select("id", "label", "vol", F.col("part").alias("mine"), F.coalesce("own", F.lit(0.0)).alias("own"))
             x = to.join(here, "id").where("to <> label").join(parts.select(F.col("label").alias("to"), F.col("part").alias("theirs")), "to").join(F.broadcast(total))
-            gain = (F.col("w") - F.col("own")) / F.col("W") + gamma * ((F.col("mine") - F.col("vol")) - F.col("theirs")) * F.col("vol") / (2 * F.col("W") * F.col("W"))
+            gain = (F.col("w") - F.col("own")) / F.col("total") + gamma * ((F.col("mine") - F.col("vol")) - F.col("theirs")) * F.col("vol") / (2 * F.col("total") * F.col("total"))
             turn = F.pmod(F.xxhash64(F.lit(at * rounds + r), "id"), F.lit(2)) == 0
-            best = x.withColumn("gain", gain).where((F.col("gain") > 1e-12) & turn).groupBy("id").agg((-F.max(F.struct("gain", -F.col("to")))["col2"]).alias("m"))
+            best = x.withColumn("gain", gain).where((F.col("gain") > 1e-12) & turn).groupBy("id").agg((-F.max(F.struct("gain", (-F.col("to")).alias("k")))["k"]).alias("m"))
             new = materialize(labels.join(best, "id", "left").select("id", F.coalesce("m", "label").alias("label"), F.col("m").isNotNull().alias("moved")), "louvain-labels")
             labels, changed = new.select("id", "label"), new.where("moved").count()
             moved_any |= changed > 0
