@@ -142,7 +142,8 @@ def _shards(distinct: DataFrame, radius: int, shard_limit: int) -> DataFrame:
             break
         marked = materialize(here.join(large, ["mask", "part"], "left"), "simhash-shards")
         done.append(marked.where("large is null").select(*here.columns))
-        finer = {m: _split(m, radius + 1) for m in masks}
+        wanted = {r["mask"] for r in large.select("mask").distinct().collect()}  # of at most (radius + 1) ** level masks
+        finer = {m: _split(m, radius + 1) for m in masks if _signed(m) in wanted}
         masks = sorted({x for xs in finer.values() for x in xs})
         steps = spark.createDataFrame([(_signed(m), _signed(x)) for m, xs in finer.items() for x in xs], "mask long, finer long")
         here = marked.where("large").join(F.broadcast(steps), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("part"))
