@@ -99,8 +99,9 @@ def _parts(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.split(F.regexp_replace(clean, wrapped, f"{_OPEN}$1{_CLOSE}"), _OPEN))
 
 
-def _spans(parts: Column, context: int = 24) -> Column:
-    """The matches in what _parts() returns, with their positions in code points and what stands before each."""
+def _spans(parts: Column, counts=None, context: int = 24) -> Column:
+    """The matches in what _parts() returns for which ``counts`` holds, with their positions in code points and what
+    stands before each.  Other matches only move the position on: a text full of numbers carries no list along."""
 
     def end_of(s: Column) -> Column:
         return F.substring(s, F.greatest(F.length(s) - context + 1, F.lit(1)), F.lit(context))
@@ -109,7 +110,9 @@ def _spans(parts: Column, context: int = 24) -> Column:
         match, start = F.substring_index(part, _CLOSE, 1), acc["at"]
         span = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), acc["before"].alias("before"))
         rest = F.substring(part, F.length(match) + 2, F.length(part))
-        return F.struct((start + F.length(part) - 1).alias("at"), end_of(rest).alias("before"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        more = F.concat(acc["spans"], F.array(span))
+        kept = more if counts is None else F.when(counts(match), more).otherwise(acc["spans"])
+        return F.struct((start + F.length(part) - 1).alias("at"), end_of(rest).alias("before"), kept.alias("spans"))
 
     first, none = F.element_at(parts, 1), F.array().cast(_EMPTY)
     begin = F.struct(F.length(first).alias("at"), end_of(first).alias("before"), none.alias("spans"))
@@ -132,7 +135,7 @@ def _possible_wide(kind: str, text: Column) -> Column:
 
 
 def _passing(kind: str):
-    return lambda s: passes(kind, s["match"])
+    return lambda match: passes(kind, match)
 
 
 def _apart_from(arrays: list[str]):
@@ -154,7 +157,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cut = {f"__base_{k}": _parts(text, BASE[k], _possible(k, text)) for k in KINDS} | {f"__wide_{k}": _parts(text, WIDE[k], _possible_wide(k, text)) for k in KINDS}
     out = docs.withColumns(cut)
-    out = out.withColumns({f"base_{k}": F.filter(_spans(F.col(f"__base_{k}")), _passing(k)) for k in KINDS})
+    out = out.withColumns({f"base_{k}": _spans(F.col(f"__base_{k}"), _passing(k)) for k in KINDS})
     taken = [f"base_{k}" for k in KINDS]
     for kind in KINDS:
         free = F.filter(_spans(F.col(f"__wide_{kind}")), _apart_from(taken))

@@ -86,10 +86,10 @@ def test_keep_one_keeps_one(docs):
 
 def test_links_when_all_shards_are_split(spark):
     rng = np.random.default_rng(5)
-    base = [int(x) for x in rng.integers(0, 1 << 63, 20)]
+    base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
     values = set(base)
     for b in base:
-        for _ in range(30):
+        for _ in range(16):
             x = b
             for k in rng.choice(64, rng.integers(1, 6), replace=False):
                 x ^= 1 << int(k)
@@ -111,7 +111,7 @@ def test_links_when_all_shards_are_split(spark):
         return {x: root(x) for x in parent}
 
     brute = groups((a[0], b[0]) for a in signed for b in signed if ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= 3)
-    for limit in (8, 2048):
+    for limit in (12, 2048):
         own = groups((r["u"], r["v"]) for r in simhash.links(df, 3, limit).collect())
         pairs = {}
         assert all(pairs.setdefault(own[x], brute[x]) == brute[x] for x in own) and len(set(own.values())) == len(set(brute.values()))
@@ -346,7 +346,7 @@ def _passes(kind, m):
 def test_pii_equals_brute_force(spark, docs, empty):
     rng = np.random.default_rng(8)
     pool = ["a@b.com", "x.y@z-1.co.uk", "@", ".", "_x@y.org", "10.0.0.1", "1.2.3.4.5.6.7.8", "999.1.1.1", "0001.2.3.4", "4539 1488 0343 6467", "4539-1488-0343-6468", "4539148803436467", "+1 (377) 555-0271", "+49 30 1234", "+1((", " ", " the ", "é", "", "", "-", "5", "jo (at) site (dot) com", "call (212) 555-0199"]
-    texts = ["".join(rng.choice(pool, 12)) for _ in range(300)] + [None, "", "a" * 200_000 + "@", "1." * 50_000]
+    texts = ["".join(rng.choice(pool, 12)) for _ in range(300)] + [None, "", "a" * 200_000 + "@", "1." * 2_000, "12 34, " * 20_000]
     rows = list(enumerate(texts))
     found = rows_of(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
     for i, t in rows:
