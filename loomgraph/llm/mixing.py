@@ -6,7 +6,12 @@ the source.  The flight phase of the cube method then moves these probabilities,
 null-space of the balancing constraints (the number of documents and the number of words), so that both totals stay
 what they are while one document after the other reaches 0 or 1.
 
-A flight needs only the few documents that are still undecided, so each task streams its rows through it, and memory
+Documents with more than a ``1 / heavy`` share of their source's words (fewer than ``heavy`` in any source) move first: one
+that reaches 0 or 1 shifts the probabilities of all lighter documents together, by an amount linear in their sizes, which
+keeps both totals.  Left to the end, such a document would find too few others to balance it.  One that the others can't
+make up for, whichever way it goes, stays undecided until the landing: its source may miss its target by it.
+
+A flight of the others needs only the few documents that are still undecided, so each task streams its rows through it, and memory
 doesn't follow the size of a source.  At most two documents of a source and bucket stay undecided; these fly again
 among ever fewer buckets, until one bucket holds the small problem that the landing phase decides.
 """
@@ -130,6 +135,74 @@ def _flight(seed: int, landing: bool):
     return run
 
 
+def _absorb(size: float, n: float, s1: float, s2: float, ends: list[tuple[float, float]], p: float, both: bool) -> tuple[float, float] | None:
+    """How much the others' probabilities (a constant, and a part by size) go down for each unit that a heavy document's goes
+    up; n, s1, s2 are the others' number and sums of sizes and squared sizes, ``ends`` the smallest and largest of their
+    sizes with their probabilities.  None if some probability would leave 0 to 1."""
+    if both:
+        det = n * s2 - s1 * s1
+        if det <= 1e-9 * n * s2:
+            return None
+        alpha, beta = (size * s1 - s2) / det, (s1 - n * size) / det
+    elif s1 > 0:
+        alpha, beta = -size / s1, 0.0
+    else:
+        return None
+    for s, q in ends:
+        u = alpha + beta * s
+        if not (-_EPS <= q + (1 - p) * u <= 1 + _EPS and -_EPS <= q - p * u <= 1 + _EPS):
+            return None
+    return alpha, beta
+
+
+def _settle_heavy(seed: int):
+    """Heavy documents of one source, largest first: rows with p, and one row with the line ``base + slope * size`` that
+    the lighter documents' probabilities lie on afterwards."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0))
+        head = rows[0]
+        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}\0heavy\0{head['source']}\0{head['source'] is None}"))
+        base, slope = head["p"], 0.0
+        n, s1, s2 = (head[c] + sum(r["size"] ** k for r in rows) for k, c in enumerate(("n", "s1", "s2")))
+        for i, r in enumerate(rows):
+            size, p = r["size"], min(1.0, max(0.0, base + slope * r["size"]))
+            n, s1, s2 = n - 1, s1 - size, s2 - size * size
+            lightest = rows[-1]["size"] if head["least"] is None else head["least"]
+            heaviest = rows[i + 1]["size"] if i + 1 < len(rows) else head["most"]
+            r["p"] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
+            if r["p"] in (0.0, 1.0) or n < 1:
+                continue
+            ends = [(s, base + slope * s) for s in (lightest, heaviest)]
+            line = _absorb(size, n, s1, s2, ends, p, True) or _absorb(size, n, s1, s2, ends, p, False)
+            if line:
+                r["p"] = float(rng.random() < p)
+                base, slope = base + (r["p"] - p) * line[0], slope + (r["p"] - p) * line[1]
+        out = [(r["doc_id"], r["source"], r["size"], r["copies"], r["p"], None, None) for r in rows]
+        columns = zip(*out, (None, head["source"], None, None, None, base, slope), strict=True)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "source", "size", "copies", "p", "base", "slope"]
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
+
+    return run
+
+
+def _after_heavy(rows: DataFrame, plan: DataFrame, seed: int, heavy: int) -> DataFrame:
+    """rows (doc_id, source, size, copies, p) after the heavy documents of each source have moved."""
+    sized = rows.join(F.broadcast(plan.select(F.col("source").alias("__source"), "source_size")), F.col("source").eqNullSafe(F.col("__source")))
+    is_heavy = F.col("size") * heavy > F.col("source_size")
+    light, large = sized.where(~is_heavy).select(*rows.columns), sized.where(is_heavy).select(*rows.columns)
+    x = F.col("size").cast("double")
+    rest = light.groupBy(F.col("source").alias("__source")).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.min("size").alias("least"), F.max("size").alias("most"))
+    known = large.join(rest, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").fillna(0.0, ["n", "s1", "s2"])
+    moved = materialize(known.groupBy("source").applyInArrow(_settle_heavy(seed), "doc_id long, source string, size long, copies long, p double, base double, slope double"), "mixing-heavy")
+    lines = moved.where("base is not null").select(F.col("source").alias("__source"), "base", "slope")
+    p = F.coalesce(F.col("base") + F.col("slope") * F.col("size"), F.col("p"))
+    light = light.join(F.broadcast(lines), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("p", p)
+    light = light.withColumn("p", F.when(F.col("p") < _EPS, 0.0).when(F.col("p") > 1 - _EPS, 1.0).otherwise(F.col("p")))
+    return light.select(*rows.columns).unionByName(moved.where("base is null").select(*rows.columns))
+
+
 def _fly(rows: DataFrame, seed: int, landing: bool) -> DataFrame:
     """Large documents first: what stays undecided at the end is small."""
     order = ["bucket", "source", F.desc("size"), "doc_id", "copies", "p"]
@@ -157,6 +230,7 @@ def balanced_mix(
     seed: int = 42,
     bucket_rows: int = 20_000,
     fan_in: int = 64,
+    heavy: int = 256,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of docs; taken = copies * size.
 
@@ -173,8 +247,8 @@ def balanced_mix(
     rows = (
         sizes.join(plan, sizes["source"].eqNullSafe(plan["source"]))
         .select("doc_id", sizes["source"], "size", whole.cast("long").alias("copies"), F.when(part < _EPS, 0.0).otherwise(part).alias("p"))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)))
     )
+    rows = _after_heavy(rows, plan, seed, heavy).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)))
     settled = []
     while True:
         flown = materialize(_fly(rows, seed, landing=buckets == 1), "mixing-flight")
