@@ -1,9 +1,10 @@
 """A uniform shuffle into shards of exact sizes, through a hypergeometric communication matrix.
 
-How many rows go from each input part to each destination is drawn first, exactly as a uniform permutation would have
-it: a multivariate hypergeometric row for each part.  Each part then permutes its own rows and cuts them by its row of
-the matrix, the rows are exchanged, and each destination permutes what it got.  A destination is a block of at most
-``block_rows`` consecutive slots of a shard, so no task gets a whole shard once shards are large.
+How many rows go from each input part to each shard is drawn first, exactly as a uniform permutation would have it: a
+multivariate hypergeometric row for each part.  Each part then permutes its own rows and cuts them by its row of the
+matrix, the rows are exchanged, and each shard permutes what it got.  That second permutation sorts by random keys, a
+range of keys (about ``block_rows`` rows) to a task, so no task gets a whole shard once shards are large; the sizes of
+the ranges before it say where a range's slots begin.
 """
 
 from __future__ import annotations
@@ -35,26 +36,38 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 42, block_ro
 
     Shard sizes differ by one row at most.  Any columns, nulls and repeated rows are carried along; columns of df named
     shard or slot are replaced.  An empty table gives an empty result.  The rows are written with the number of their
-    part first, so that a task that runs again finds the counts that the matrix was drawn for.  The driver holds one
-    count for each part and block, never rows.
+    part and their place in it first, so that a task that runs again finds the counts that the matrix was drawn for.  The
+    driver holds ``shards`` counts for each part and one for each range of keys, never rows.
     """
     spark, columns = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
-    table = materialize(df.select(F.struct(*columns).alias("row"), F.spark_partition_id().alias("part")), "sharding-rows")
+    table = materialize(df.select(F.struct(*columns).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "sharding-rows")
     counts = sorted((r["part"], r["count"]) for r in table.groupBy("part").count().collect())
-    blocks = [(s, at, min(block_rows, n - at)) for s, n in enumerate(shard_sizes(sum(n for _, n in counts), shards)) for at in range(0, n, block_rows)]
-    matrix = communication_matrix([n for _, n in counts], [n for _, _, n in blocks], seed)
+    total = sum(n for _, n in counts)
+    matrix = communication_matrix([n for _, n in counts], shard_sizes(total, shards), seed)
     ends = np.cumsum(matrix, axis=1)
     cuts = spark.createDataFrame([(p, e) for (p, _), e in zip(counts, ends.tolist(), strict=True)], "part int, ends array<long>")
-    places = spark.createDataFrame([(i, s, at) for i, (s, at, _) in enumerate(blocks)], "block int, shard int, first long")
 
-    salt = F.xxhash64(F.lit(seed), "row")
-    local = Window.partitionBy("part").orderBy(salt, "row")
+    # Repeated rows have keys of their own: n is part of them.
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "n"), "n")
     sent = table.withColumn("at", F.row_number().over(local) - 1).join(cuts, "part")
-    block = F.size(F.filter("ends", lambda e: e <= F.col("at")))
-    sent = sent.select("row", "part", "at", block.alias("block"))
-    inner = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "row", "part", "at"), "part", "at")
-    placed = sent.withColumn("at", F.row_number().over(inner) - 1).join(places, "block")
-    return placed.select("row.*", "shard", (F.col("first") + F.col("at")).alias("slot"))
+    ranges = max(1, -(-total // (shards * block_rows)))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
+    key = F.xxhash64(F.lit(seed + 1), "n")
+    sent = sent.select("row", "n", shard.alias("shard"), F.pmod(F.shiftright(key, 20), F.lit(ranges)).alias("range"), key.alias("key"))
+    if ranges == 1:
+        firsts = None
+    else:
+        sent = materialize(sent, "sharding-sent")
+        held = {(r["shard"], r["range"]): r["count"] for r in sent.groupBy("shard", "range").count().collect()}
+        firsts, at = [], {}
+        for s, r in sorted(held):
+            firsts.append((s, r, at.get(s, 0)))
+            at[s] = at.get(s, 0) + held[s, r]
+    inner = Window.partitionBy("shard", "range").orderBy("key", "n")
+    placed = sent.withColumn("slot", F.row_number().over(inner).cast("long") - 1)
+    if firsts:
+        placed = placed.join(spark.createDataFrame(firsts, "shard int, range long, first long"), ["shard", "range"]).withColumn("slot", F.col("slot") + F.col("first"))
+    return placed.select("row.*", "shard", "slot")
 
 
 def sharded_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
