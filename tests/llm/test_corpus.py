@@ -321,6 +321,24 @@ def test_mix_is_balanced_and_repeats(spark):
     assert abs(mixing.mix(docs, bucket_rows=300).count() - first.agg(F.sum("copies")).first()[0]) <= 40
 
 
+def test_mix_meets_targets_with_heavy_documents(spark):
+    """Documents with a twentieth to a sixth of their source's words: the lighter ones make up for them."""
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(1, 30, 600).tolist(), 250, 250, 400, 120]
+    docs = spark.createDataFrame([(i, "w " * n, "abcd"[i % 4]) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in range(3):
+        for r in mixing.balanced_mix(docs, seed=seed).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("goal"), F.count("*").alias("n")).collect():
+            assert r["n"] == 151 and abs(r["t"] - r["goal"]) <= 30
+
+
+def test_heavy_documents_keep_both_totals():
+    n, s1, s2 = 100.0, 1500.0, 30000.0
+    alpha, beta = mixing._absorb(60, n, s1, s2, [(1, 0.5), (40, 0.5)], 0.5, True)
+    assert n * alpha + s1 * beta == pytest.approx(-1) and s1 * alpha + s2 * beta == pytest.approx(-60)
+    assert mixing._absorb(60, n, s1, s2, [(1, 0.001), (40, 0.001)], 0.001, False) is None
+    assert mixing._absorb(60, n, 0.0, 0.0, [(0, 0.5), (0, 0.5)], 0.5, False) is None
+
+
 def test_mix_of_awkward_rows(docs, empty):
     found = mixing.balanced_mix(docs).collect()
     assert len(found) == len(TEXTS) + 2 and all(r["size"] == 0 for r in found if r["doc_id"] in (0, 1, 2))
@@ -389,6 +407,15 @@ def test_shards_are_exact_and_gapless(spark, docs, empty):
     assert sharding.sharded_documents(empty).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    """Equal rows are dealt like any others, also where a shard is permuted in ranges."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("x")).repartition(4)
+    for block_rows in (50, 10_000):
+        placed = sharding.shuffle_into_shards(df, 6, block_rows=block_rows)
+        for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum((F.col("x") == -1).cast("int")).alias("same"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect():
+            assert r["n"] == r["d"] == r["m"] + 1 == 1000 and 250 < r["same"] < 420
+
+
 def test_matrix_margins_and_mean():
     parts, blocks = [30, 50, 20], [60, 40]
     total = np.zeros((3, 2))
