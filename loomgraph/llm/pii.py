@@ -318,8 +318,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs, all columns, with each span of personal data replaced by its kind in brackets; overlapping spans become one,
     of the kind that starts first.  length_col, where docs has it, is the new length.  Null texts stay null."""
-    own = [c for c in docs.columns if c not in ("base", "spans")]
-    inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    others = [c for c in docs.columns if c != text_col] or [F.lit(True).alias("alone")]
+    inner = docs.select(F.struct(*others).alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = detect(inner).select("doc", "text", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("s"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -335,6 +335,6 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     done = F.aggregate("s", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     new = F.when(F.size("s") > 0, done).otherwise(F.col("text"))
     out = found.select("doc", new.alias("new")).select(*(F.col("doc")[c].alias(c) if c != text_col else F.col("new").alias(c) for c in docs.columns))
-    if length_col and length_col in own:
+    if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast("long"))
     return out.select(*docs.columns)
