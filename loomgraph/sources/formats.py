@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, canonical, dense_ids
 from loomgraph.scratch import materialize
+from loomgraph.sources import markup
 
 
 def _lines(spark: SparkSession, path: str, comment: str | None) -> DataFrame:
@@ -32,8 +33,8 @@ def read_edge_list(spark: SparkSession, path: str, separator: str = r"\s+", comm
     w = F.when(F.size("p") > 2, F.get("p", F.lit(2)).cast("double")).otherwise(1.0)
     if not labels:
         e = p.select((F.get("p", F.lit(0)).cast("long") - first).alias("src"), (F.get("p", F.lit(1)).cast("long") - first).alias("dst"), w.alias("w"))
-        top = e.agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
-        v = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("id"))
+        top = e.agg(F.max(F.greatest("src", "dst")).alias("top")).first()["top"]
+        v = spark.range(0 if top is None else top + 1)
         return PropertyGraph(v, canonical(e, directed).dropDuplicates(["src", "dst"]), directed)
     e = p.select(F.get("p", F.lit(0)).alias("s"), F.get("p", F.lit(1)).alias("d"), w.alias("w"))
     v = dense_ids(e.select(F.explode(F.array("s", "d")).alias("label")).distinct(), ["label"], "id")
@@ -78,11 +79,12 @@ def read_metis(spark: SparkSession, path: str) -> PropertyGraph:
 
 
 def write_metis(g: PropertyGraph, path: str) -> None:
-    """Lines in the order of the ids, in one file: the format asks for it.  Ids must be dense."""
+    """Lines in the order of the ids, in ranges: the parts, in the order of their names, are one document.  Ids must be
+    dense."""
     lists = g.arcs().groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: (x + 1).cast("string")), " ").alias("value"))
     rows = g.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce("value", F.lit("")).alias("value"))
     head = g.counts().select(F.lit(-1).cast("long").alias("id"), F.concat_ws(" ", "nodes", "edges").alias("value"))
-    head.unionByName(rows).repartitionByRange(1, "id").sortWithinPartitions("id").select("value").write.text(path)
+    head.unionByName(rows).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> PropertyGraph:
@@ -110,11 +112,10 @@ def read_gml(spark: SparkSession, path: str) -> PropertyGraph:
 
 
 def write_dot(g: PropertyGraph, path: str) -> None:
-    """GraphViz lines, in one file."""
+    """GraphViz lines, in ranges."""
     arrow = " -> " if g.directed else " -- "
-    e = g.edges.select(F.lit(1).alias("k"), F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(arrow), F.col("dst").cast("string"), F.lit(";")).alias("value"))
-    ends = g.vertices.sparkSession.createDataFrame([(0, ("digraph" if g.directed else "graph") + " g {"), (2, "}")], "k int, value string")
-    ends.unionByName(e).repartitionByRange(1, "k").sortWithinPartitions("k", "value").select("value").write.text(path)
+    e = g.edges.select(F.col("src").alias("place"), F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(arrow), F.col("dst").cast("string"), F.lit(";")).alias("value"))
+    markup.write_ranges(("digraph" if g.directed else "graph") + " g {", [e], "}", path)
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +124,8 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partition(labels: DataFrame, path: str) -> None:
-    labels.repartitionByRange(1, "id").sortWithinPartitions("id").select(F.col("label").cast("string").alias("value")).write.text(path)
+    """A label for each line, by id, in ranges."""
+    labels.repartitionByRange("id").sortWithinPartitions("id").select(F.col("label").cast("string").alias("value")).write.text(path)
 
 
 def read_edge_list_partition(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
@@ -135,13 +137,19 @@ def read_edge_list_partition(spark: SparkSession, path: str, first: int = 0) ->
 def read_cover(spark: SparkSession, path: str) -> DataFrame:
     """``(id, label)``: line i has the members of set i."""
     p = numbered_lines(spark, path, "#").where("value <> ''")
-    return p.select(F.explode(F.split("value", r"\s+")).cast("long").alias("id"), F.col("n").alias("label"))
+    return p.select(F.explode(F.split("value", r"\s+").cast("array<long>")).alias("id"), F.col("n").alias("label"))
+
+
+def write_cover(members: DataFrame, path: str) -> None:
+    """Line i has the members of the ith label, by label, in ranges."""
+    lists = members.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), " ").alias("value"))
+    lists.repartitionByRange("label").sortWithinPartitions("label").select("value").write.text(path)
 
 
 def read_edge_list_cover(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
     """``(id, label)`` from ``node label label ...`` lines."""
     p = _lines(spark, path, "#").where("value <> ''").select(F.split("value", r"\s+").alias("p"))
-    return p.select((F.get("p", F.lit(0)).cast("long") - first).alias("id"), F.explode(F.slice("p", 2, F.size("p") - 1)).cast("long").alias("label"))
+    return p.select((F.get("p", F.lit(0)).cast("long") - first).alias("id"), F.explode(F.slice("p", 2, F.size("p") - 1).cast("array<long>")).alias("label"))
 
 
 def read_dgs(spark: SparkSession, path: str) -> DataFrame:
@@ -157,6 +165,23 @@ def read_dgs(spark: SparkSession, path: str) -> DataFrame:
     return t.where(name.isNotNull()).select(F.col("n").alias("seq"), name.alias("type"), u.cast("long").alias("u"), v.cast("long").alias("v"), F.nullif(w, F.lit("")).cast("double").alias("w"))
 
 
+def write_dgs(events: DataFrame, path: str) -> None:
+    """Events ``(seq, type, u, v, w)`` as DGS004 lines, by seq, in ranges."""
+    key, kind, u, v = F.concat_ws("-", "u", "v"), F.col("type"), F.col("u").cast("string"), F.col("v").cast("string")
+    weight = F.concat(F.lit("weight="), F.coalesce("w", F.lit(1.0)).cast("string"))
+    line = (
+        F.when(kind == "NODE_ADDITION", F.concat_ws(" ", F.lit("an"), u))
+        .when(kind == "NODE_REMOVAL", F.concat_ws(" ", F.lit("dn"), u))
+        .when(kind == "NODE_RESTORATION", F.concat_ws(" ", F.lit("rn"), u))
+        .when(kind == "EDGE_ADDITION", F.concat_ws(" ", F.lit("ae"), key, u, v, weight))
+        .when(kind == "EDGE_REMOVAL", F.concat_ws(" ", F.lit("de"), key))
+        .when(kind == "EDGE_WEIGHT_UPDATE", F.concat_ws(" ", F.lit("ce"), key, weight))
+        .when(kind == "EDGE_WEIGHT_INCREMENT", F.concat_ws(" ", F.lit("ie"), key, weight))
+        .when(kind == "TIME_STEP", F.concat_ws(" ", F.lit("st"), F.col("seq").cast("string")))
+    )
+    markup.write_ranges("DGS004\ngraph 0 0", [events.select(F.col("seq").alias("place"), line.alias("value")).where("value is not null")], "# end", path)
+
+
 def write_snapshot(g: PropertyGraph, path: str) -> None:
     """Nodes and edges as Parquet, with a checksum of the rows of each table and the direction."""
     g.vertices.write.parquet(f"{path}/nodes")
@@ -184,13 +209,17 @@ READERS = {
     "metis": read_metis,
     "matrixmarket": read_matrix_market,
     "gml": read_gml,
+    "graphml": markup.read_graphml,
+    "gexf": markup.read_gexf,
 }
 
 
 def guess_format(spark: SparkSession, path: str) -> str:
-    """A format's name, from the first line."""
+    """A format's name, from the first line; of XML documents, from the path."""
     rows = spark.read.text(path).limit(1).collect()
     line = rows[0]["value"] if rows else ""
+    if line.startswith(("<?xml", "<graphml", "<gexf")):
+        return "gexf" if path.endswith(".gexf") or line.startswith("<gexf") else "graphml"
     if line.startswith("%%MatrixMarket"):
         return "matrixmarket"
     if line.lower().startswith(("graph", "creator")):

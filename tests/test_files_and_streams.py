@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.sources import formats
+from loomgraph.sources import formats, markup
 from loomgraph.streaming import events
 from tests.test_graph import KITE, make
 
@@ -41,6 +41,37 @@ def test_round_trips(spark, tmp_path):
     assert [r["label"] for r in formats.read_partition(spark, str(tmp_path / "p")).orderBy("id").collect()] == [0, 1, 0, 1, 0, 1]
 
 
+def test_markup(spark, tmp_path):
+    g = make(spark, KITE, 6)
+    for name, write, read in (("x.graphml", markup.write_graphml, markup.read_graphml), ("x.gexf", markup.write_gexf, markup.read_gexf), ("x.gml", markup.write_gml, formats.read_gml)):
+        write(g, str(tmp_path / name))
+        back = read(spark, str(tmp_path / name))
+        assert sorted(map(tuple, back.edges.select("src", "dst", "w").collect())) == sorted(map(tuple, g.edges.select("src", "dst", "w").collect())), name
+        assert back.vertices.count() == 6 and not back.directed
+    text = '<graphml>\n<key id="d0" for="edge" attr.name="weight" attr.type="double"/>\n<graph edgedefault="directed">\n<node id="b"/>\n<node id="a"/><node id="lone"/>\n<edge source="b" target="a"><data key="d0">2.5</data></edge>\n<edge source="a" target="b"/>\n</graph>\n</graphml>\n'
+    g = formats.read_graph(spark, _write(tmp_path / "y.graphml", text))
+    assert g.directed and g.vertices.count() == 3
+    assert sorted(map(tuple, g.edges.select("src", "dst", "w").collect())) == [(0, 1, 1.0), (1, 0, 2.5)]
+    text = '<gexf><graph mode="dynamic">\n<nodes><node id="0" start="1" end="4"/><node id="1"><spells><spell start="0" end="1"/><spell start="2" end="3"/></spells></node></nodes>\n<edges><edge id="0" source="0" target="1" start="2"/></edges>\n</graph></gexf>\n'
+    spells = markup.read_gexf_spells(spark, _write(tmp_path / "z.gexf", text)).collect()
+    assert set(map(tuple, spells)) == {("node", "0", None, 1.0, 4.0), ("node", "1", None, 0.0, 1.0), ("node", "1", None, 2.0, 3.0), ("edge", "0", "1", 2.0, None)}
+
+
+def test_events_covers_and_drawings(spark, tmp_path):
+    rows = [(0, "NODE_ADDITION", 0, None, None), (1, "NODE_ADDITION", 1, None, None), (2, "EDGE_ADDITION", 0, 1, 3.0), (3, "TIME_STEP", None, None, None), (4, "EDGE_WEIGHT_INCREMENT", 0, 1, 2.0)]
+    formats.write_dgs(spark.createDataFrame(rows, "seq long, type string, u long, v long, w double"), str(tmp_path / "d"))
+    back = formats.read_dgs(spark, str(tmp_path / "d")).orderBy("seq").select("type", "u", "v", "w").collect()
+    assert [tuple(r) for r in back] == [r[1:] for r in rows]
+    members = [(0, 0), (1, 0), (1, 1), (2, 1)]
+    formats.write_cover(spark.createDataFrame(members, "id long, label long"), str(tmp_path / "c"))
+    assert sorted(map(tuple, formats.read_cover(spark, str(tmp_path / "c")).collect())) == members
+    lines = _write(tmp_path / "e", "1 7 8\n2 8\n")
+    assert sorted(map(tuple, formats.read_edge_list_cover(spark, lines, first=1).collect())) == [(0, 7), (0, 8), (1, 8)]
+    formats.write_dot(make(spark, KITE, 6), str(tmp_path / "g"))
+    lines = [r["value"] for r in formats.numbered_lines(spark, str(tmp_path / "g")).orderBy("n").collect()]
+    assert lines[0] == "graph g {" and lines[-1] == "}" and len(lines) == 2 + len(KITE)
+
+
 def test_folding_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1, 1.0), (0, 1, 2.0), (1, 2, 1.0)], "src long, dst long, w double")
     for i in range(2):
