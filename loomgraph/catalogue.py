@@ -450,6 +450,53 @@ round(coalesce(sum(1.0 / n) FILTER (n > 0), 0) / ((SELECT count(*) FROM v) - 1),
 _query("betweenness_sample", None)(lambda s, d: centrality.betweenness(g := G.part_graph(s, d, 3), g.vertices.where("id % 50 = 0")))
 _query("approximate_pagerank", None)(lambda s, d: centrality.approximate_pagerank(g := _thin(s, d), g.vertices.where("id = 1")))
 
+# -- more of the whole graph, ranks and parts --------------------------------------------------------------------------
+
+_query("merge", f"WITH {_part(2)} SELECT src, dst, CASE WHEN w >= 3 THEN 1.0 ELSE w END AS w FROM e")(
+    lambda s, d: tools.merge(tools.to_unweighted(G.part_graph(s, d, 3)), G.part_graph(s, d, 2)).edges.select("src", "dst", "w")
+)
+_query("augmented", f"WITH {_NATION} SELECT src, dst, w FROM e UNION ALL SELECT -1, id, 1.0 FROM v")(
+    lambda s, d: tools.augmented(G.nation_graph(s, d)).edges.select("src", "dst", "w")
+)
+_query("eccentricity", f"WITH RECURSIVE {_THIN}, {_CLOSE} SELECT s AS id, id AS farthest, n AS distance FROM m QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, id) = 1")(
+    lambda s, d: traversal.eccentricity(g := _thin(s, d), g.vertices.where("id % 50 = 0"))
+)
+_query("contingency", f"WITH {_BRAND} SELECT b.label AS a, t.label AS b, count(*) AS n FROM b JOIN t USING (id) GROUP BY 1, 2")(
+    lambda s, d: communities.contingency(_labels(s, d), _labels(s, d, "p_type"))
+)
+_query("partition_sizes", f"WITH {_BRAND}, c AS (SELECT count(*) AS size FROM b GROUP BY label) SELECT size, count(*) AS parts FROM c GROUP BY 1")(
+    lambda s, d: communities.partition_sizes(_labels(s, d))
+)
+_query(
+    "set_conductance",
+    f"""WITH {_THIN}, t AS (SELECT sum(wd) FILTER (id % 10 = 0) AS own, sum(wd) FILTER (id % 10 <> 0) AS rest FROM d), c AS (SELECT sum(w) AS cut FROM a WHERE src % 10 = 0 AND dst % 10 <> 0)
+SELECT round(cut / least(own, rest), 6) AS conductance FROM t, c""",
+)(lambda s, d: _rounded(communities.set_conductance(g := _thin(s, d), g.vertices.where("id % 10 = 0")), "conductance"))
+_query(
+    "degree_correlation",
+    f"""WITH {_ALL}, r AS (SELECT degree AS x, wd AS y, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS rx,
+rank() OVER (ORDER BY wd) + (count(*) OVER (PARTITION BY wd) - 1) / 2.0 AS ry FROM d) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""",
+)(
+    lambda s, d: _rounded(
+        degree.correlation((g := G.part_graph(s, d).degrees()).select("id", F.col("degree").alias("score")), g.select("id", F.col("weighted_degree").alias("score"))), "pearson", "spearman"
+    )
+)
+_query(
+    "degree_histogram",
+    f"""WITH {_ALL}, x AS (SELECT min(degree) AS lo, max(degree) AS hi FROM d)
+SELECT CAST(CASE WHEN hi > lo THEN least(floor((degree - lo) / CAST(hi - lo AS DOUBLE) * 10), 9) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM d, x GROUP BY 1""",
+)(lambda s, d: degree.histogram(G.part_graph(s, d).degrees(), 10, "degree"))
+_query("degree_centralization", f"WITH {_ALL} SELECT round((count(*) * max(degree) - sum(degree)) / ((count(*) - 1.0) * max(degree)), 6) AS centralization FROM d")(
+    lambda s, d: _rounded(degree.centralization(G.part_graph(s, d).degrees().select("id", F.col("degree").cast("double").alias("score"))), "centralization")
+)
+_query(
+    "clustering_per_degree",
+    f"WITH {_THIN}, {_TRIANGLES} SELECT degree, round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS score FROM tv JOIN d USING (id) GROUP BY 1",
+)(lambda s, d: _rounded(triangles.clustering_per_degree(_thin(s, d)), "score"))
+_query("same_community", f"WITH {_THIN}, {_BRAND} SELECT src AS u, dst AS v, CAST(x.label = y.label AS DOUBLE) AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
+    lambda s, d: links.same_community_index(_labels(s, d), _thin(s, d).edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+)
+
 # -- algebra and embeddings -------------------------------------------------------------------------------------------
 
 _query("laplacian_matrix", f"WITH {_NATION}, x AS (SELECT src, dst, w FROM a WHERE src <> dst) SELECT src AS i, dst AS j, -w AS v FROM x UNION ALL SELECT src, src, sum(w) FROM x GROUP BY 1")(
