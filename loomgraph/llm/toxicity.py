@@ -64,11 +64,11 @@ def grams(text: str | None, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
         tail = run[-2:]
 
 
-def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int, share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the rows in their order; features, weights, intercept.  Features that fewer than this share of
-    the rows have (three, at least) could only tell single rows apart: they are left out."""
+def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over the rows in their order; features, weights, intercept.  A row moves the gradient of
+    a feature without weight by less than 1 in each epoch: features of too few rows to pass the L1 term are left out unseen."""
     keys, counts = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_counts=True)
-    keys = keys[counts >= max(3, share * len(rows))]
+    keys = keys[counts * epochs > l1]
     local = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     bias_z = bias_n = 0.0
@@ -114,15 +114,14 @@ def fit(
     shard_rows: int = 5_000,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 0.006,
+    l1: float = 16.0,
     l2: float = 0.0,
     epochs: int = 6,
-    share: float = 0.01,
     max_weights: int = 1_000_000,
 ) -> Weights:
     """Train on at most max_rows labelled documents (a documented bound: the model's classes are far simpler than it);
-    without any, all scores are those of an intercept of -3.  l1 is for each row of a shard: a feature needs a gradient as
-    of that share of the rows to have a weight."""
+    without any, all scores are those of an intercept of -3.  l1 is the same for a shard of any size: by it alone a feature
+    needs more than l1 / epochs rows of some shard (three) to have a weight."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -144,7 +143,7 @@ def fit(
             pdf = pdf.assign(first=[f[0] if len(f) else 0 for f in pdf["features"]])
             pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "first"])
             features = [np.asarray(f, np.int64).view(np.uint64) for f in pdf["features"]]
-            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, max(4.0, l1 * len(pdf)), l2, epochs, share)
+            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs)
             keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
             return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
 

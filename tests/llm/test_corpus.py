@@ -244,6 +244,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and abs(kept.count() - 450) < 12
 
 
+def test_toxicity_learns_words_of_few_rows(spark):
+    """Forty words mark the toxic rows; none of them is in 1 % of the rows."""
+
+    def marks(i):
+        return " ".join(f"zorn{(i // 16 * 5 + 8 * k) % 40}" for k in range(5)) if i % 16 == 0 else ""
+
+    rows = [(i, prose(i, 40) + " " + marks(i), int(i % 16 == 0)) for i in range(2000)]
+    counts = [sum(f"zorn{k}" in t.split() for _, t, _ in rows) for k in range(40)]
+    assert 3 <= min(counts) and max(counts) < 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = rows_of(toxicity.toxicity(frame.drop("toxic"), frame.drop("text")))
+    held = [(found[i]["predicted"], y) for i, _, y in rows if found[i]["held_out"]]
+    assert sum(p for p, y in held if y) > 0.8 * sum(y for _, y in held)
+    assert sum(p for p, y in held if not y) < 0.02 * len(held)
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.toxicity(docs, none).collect()
