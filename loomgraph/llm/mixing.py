@@ -31,7 +31,7 @@ from loomgraph.scratch import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 _EPS = 1e-9
-_OUT = "doc_id long, source string, size long, copies long, p double, bucket long"
+_OUT = "doc_id long, source string, size long, copies long, row long, p double, bucket long"
 
 
 def n_words(text):
@@ -104,20 +104,20 @@ def _flight(seed: int, landing: bool):
 
         def batch() -> pa.RecordBatch:
             nonlocal done
-            columns = list(zip(*done, strict=True)) if done else [()] * 6
+            columns = list(zip(*done, strict=True)) if done else [()] * 7
             done = []
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays[:4], arrays[5], arrays[4]], ["doc_id", "source", "size", "copies", "p", "bucket"])
+            return pa.RecordBatch.from_arrays([*arrays[:5], arrays[6], arrays[5]], ["doc_id", "source", "size", "copies", "row", "p", "bucket"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("doc_id", "source", "size", "copies", "bucket", "p")]
-            for doc_id, source, size, copies, bucket, p in zip(*columns, strict=True):
+            columns = [b.column(c).to_pylist() for c in ("doc_id", "source", "size", "copies", "row", "bucket", "p")]
+            for doc_id, source, size, copies, key, bucket, p in zip(*columns, strict=True):
                 if (bucket, source) != group:
                     close()
                     group = (bucket, source)
                     rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}\0{bucket}\0{source}\0{source is None}"))
-                row = [(doc_id, source, size, copies, bucket), size, p]
+                row = [(doc_id, source, size, copies, key, bucket), size, p]
                 if p in (0.0, 1.0):
                     settle(row)
                     continue
@@ -160,7 +160,7 @@ def _settle_heavy(seed: int):
     the lighter documents' probabilities lie on afterwards."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0))
+        rows = sorted(group.to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["row"] or 0))
         head = rows[0]
         rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}\0heavy\0{head['source']}\0{head['source'] is None}"))
         base, slope = head["p"], 0.0
@@ -178,24 +178,24 @@ def _settle_heavy(seed: int):
             if line:
                 r["p"] = float(rng.random() < p)
                 base, slope = base + (r["p"] - p) * line[0], slope + (r["p"] - p) * line[1]
-        out = [(r["doc_id"], r["source"], r["size"], r["copies"], r["p"], None, None) for r in rows]
-        columns = zip(*out, (None, head["source"], None, None, None, base, slope), strict=True)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "source", "size", "copies", "p", "base", "slope"]
+        out = [(r["doc_id"], r["source"], r["size"], r["copies"], r["row"], r["p"], None, None) for r in rows]
+        columns = zip(*out, (None, head["source"], None, None, None, None, base, slope), strict=True)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "source", "size", "copies", "row", "p", "base", "slope"]
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
     return run
 
 
 def _after_heavy(rows: DataFrame, plan: DataFrame, seed: int, heavy: int) -> DataFrame:
-    """rows (doc_id, source, size, copies, p) after the heavy documents of each source have moved."""
+    """rows (doc_id, source, size, copies, row, p) after the heavy documents of each source have moved."""
     sized = rows.join(F.broadcast(plan.select(F.col("source").alias("__source"), "source_size")), F.col("source").eqNullSafe(F.col("__source")))
     is_heavy = F.col("size") * heavy > F.col("source_size")
     light, large = sized.where(~is_heavy).select(*rows.columns), sized.where(is_heavy).select(*rows.columns)
     x = F.col("size").cast("double")
     rest = light.groupBy(F.col("source").alias("__source")).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.min("size").alias("least"), F.max("size").alias("most"))
     known = large.join(rest, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").fillna(0.0, ["n", "s1", "s2"])
-    moved = materialize(known.groupBy("source").applyInArrow(_settle_heavy(seed), "doc_id long, source string, size long, copies long, p double, base double, slope double"), "mixing-heavy")
+    moved = materialize(known.groupBy("source").applyInArrow(_settle_heavy(seed), "doc_id long, source string, size long, copies long, row long, p double, base double, slope double"), "mixing-heavy")
     lines = moved.where("base is not null").select(F.col("source").alias("__source"), "base", "slope")
     p = F.coalesce(F.col("base") + F.col("slope") * F.col("size"), F.col("p"))
     light = light.join(F.broadcast(lines), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("p", p)
@@ -205,9 +205,9 @@ def _after_heavy(rows: DataFrame, plan: DataFrame, seed: int, heavy: int) -> Dat
 
 def _fly(rows: DataFrame, seed: int, landing: bool) -> DataFrame:
     """Large documents first: what stays undecided at the end is small."""
-    order = ["bucket", "source", F.desc("size"), "doc_id", "copies", "p"]
+    order = ["bucket", "source", F.desc("size"), "doc_id", "copies", "p", "row"]
     dealt = rows.repartition("bucket", "source").sortWithinPartitions(*order)
-    return dealt.select("doc_id", "source", "size", "copies", "bucket", "p").mapInArrow(_flight(seed, landing), _OUT)
+    return dealt.select("doc_id", "source", "size", "copies", "row", "bucket", "p").mapInArrow(_flight(seed, landing), _OUT)
 
 
 def source_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -231,14 +231,16 @@ def balanced_mix(
     bucket_rows: int = 20_000,
     fan_in: int = 64,
     heavy: int = 256,
+    row_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of docs; taken = copies * size.
 
     Null texts have size 0.  A null source is a source of its own, last in order.  A source without words has target 0
     and none of its documents is taken.  Rows repeated under one id are documents each.  The draw follows from the rows
-    and the seed alone, so reruns agree.  An empty table gives an empty result; other columns play no part.
+    and the seed alone, so reruns agree.  A column ``row`` follows where row_col names a long that tells rows apart; it
+    orders rows that id and size leave equal.  An empty table gives an empty result; other columns play no part.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     sizes = materialize(sizes, "mixing-sizes")
     plan = source_plan(sizes, weights, cap)
     buckets = max(1, -(-sizes.count() // bucket_rows))
@@ -246,7 +248,7 @@ def balanced_mix(
     part = F.greatest(F.col("factor") - whole, F.lit(0.0))
     rows = (
         sizes.join(plan, sizes["source"].eqNullSafe(plan["source"]))
-        .select("doc_id", sizes["source"], "size", whole.cast("long").alias("copies"), F.when(part < _EPS, 0.0).otherwise(part).alias("p"))
+        .select("doc_id", sizes["source"], "size", whole.cast("long").alias("copies"), "row", F.when(part < _EPS, 0.0).otherwise(part).alias("p"))
     )
     rows = _after_heavy(rows, plan, seed, heavy).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)))
     settled = []
@@ -260,26 +262,15 @@ def balanced_mix(
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    out = out.withColumn("copies", F.col("copies") + F.col("p").cast("long")).select("doc_id", "source", "size", "copies")
+    out = out.withColumn("copies", F.col("copies") + F.col("p").cast("long")).select("doc_id", "source", "size", "copies", "row")
     mixed = out.join(plan, out["source"].eqNullSafe(plan["source"]))
-    return mixed.select("doc_id", out["source"], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select("doc_id", out["source"], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """docs with each row as often as the mix takes it, all columns.  Rows repeated under one id take their copies
-    together: each of n such rows comes as often as the nth part of them, the smallest text taking the rest."""
-    taken = balanced_mix(docs, id_col, text_col, source_col, **params).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
+    """docs with each row as often as the mix takes it, all columns.  Rows are told apart by a written key: rows repeated
+    under one id, or under none, keep the copies drawn for each."""
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-rows")
+    taken = balanced_mix(keyed, id_col, text_col, source_col, row_col="__row", **params).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
     taken = materialize(taken.where("__copies > 0"), "mixing-taken")
-    rows = docs.join(taken, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    once = rows.where("__n = 1").select(*docs.columns, "__copies")
-    again = rows.where("__n > 1").groupBy("__id", "__n", "__copies", *docs.columns).agg(F.count("*").alias("__same"))
-    again = again.withColumn("__least", F.min(F.struct(F.xxhash64(*docs.columns))).over(_by_id()))
-    share = F.floor(F.col("__copies") / F.col("__n")) * F.col("__same") + F.when(F.struct(F.xxhash64(*docs.columns)) == F.col("__least"), F.col("__copies") % F.col("__n")).otherwise(0)
-    again = again.select(*docs.columns, share.alias("__copies")).where("__copies > 0")
-    return once.unionByName(again).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__id")
+    return keyed.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

@@ -337,6 +337,15 @@ def test_mix_is_balanced_and_repeats(spark):
     assert abs(mixing.mix(docs, bucket_rows=300).count() - first.agg(F.sum("copies")).first()[0]) <= 40
 
 
+def test_mix_keeps_the_copies_of_rows_without_an_id(spark):
+    rows = [(None if i % 3 else i // 6, f"w{i} " + "w " * (i % 7), "ab"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.balanced_mix(docs).agg(F.sum("copies"), F.max("copies")).first()
+    copies = [r["count"] for r in mixing.mix(docs).groupBy("text").count().collect()]
+    assert sum(copies) == drawn[0] and max(copies) <= drawn[1] <= 3
+    assert mixing.mix(docs).columns == docs.columns
+
+
 def test_mix_meets_targets_with_heavy_documents(spark):
     """Documents with a twentieth to a sixth of their source's words: the lighter ones make up for them."""
     rng = np.random.default_rng(5)
