@@ -54,16 +54,17 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row, fp as a signed long.  Null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` for every row, fp as a signed long; with row_col (a long), ``row`` too.  Null and empty texts have 0."""
+    more = ["row"] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(row_col).alias(c) for c in more))
+    return picked.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 class BKTree:
@@ -186,6 +187,13 @@ def links(distinct: DataFrame, radius: int = 3, shard_limit: int = 2048) -> Data
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def _components(prints: DataFrame, least, radius: int, shard_limit: int) -> DataFrame:
+    """``(fp, component, least)`` for each distinct fingerprint, least being that of its own rows."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    joined = star_components(links(distinct, radius, shard_limit))
+    return distinct.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, shard_limit: int = 2048
 ) -> DataFrame:
@@ -197,25 +205,22 @@ def near_duplicates(
     docs other than the two named play no part.  An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    joined = star_components(links(distinct, radius, shard_limit))
-    labelled = distinct.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = _components(prints, F.col("doc_id"), radius, shard_limit)
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = materialize(labelled.join(least, "component").select("fp", "component_id"), "simhash-groups")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id.
-
-    Rows under one doc_id are one document, of which the smallest text stays.  A row with a null doc_id can't be named
-    as a copy of another: it stays."""
-    groups = near_duplicates(docs, id_col, text_col, **params)
-    heads = materialize(
-        groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")),
-        "simhash-kept",
-    )
-    kept = docs.join(heads, docs[id_col].cast("long") == F.col("__kept"))
-    once = kept.where("__n = 1").select(*docs.columns)
-    again = kept.where("__n > 1").groupBy("__kept").agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row"))
-    return once.unionByName(again.select("__row.*")).unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, shard_limit: int = 2048
+) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id, null last.
+
+    Each row is a document, told apart by a written key: rows that share an id, or have none, stay or go by their own
+    texts."""
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    prints = materialize(fingerprints(keyed, id_col, text_col, shingle, seed, "__row"), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row")
+    heads = _components(prints, first, radius, shard_limit).groupBy("component").agg(F.min("least").alias("least"))
+    heads = materialize(heads.select(F.col("least.row").alias("__row")), "simhash-kept")
+    return keyed.join(heads, "__row").select(*docs.columns)

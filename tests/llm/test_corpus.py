@@ -84,6 +84,14 @@ def test_keep_one_keeps_one(docs):
     assert ids.count(5) == 1 and 6 not in ids and 0 in ids and 1 not in ids and None in ids
 
 
+def test_keep_one_goes_by_rows(spark):
+    """Copies without an id go; unrelated texts under one id stay; a copy under a shared id goes."""
+    a, b, c, d = (prose(k) for k in (11, 12, 13, 14))
+    rows = [(None, a), (None, a), (None, a), (1, b), (1, c), (1, d), (0, d), (None, c)]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (1, b), (1, c), (0, d)], key=str)
+
+
 def test_links_when_all_shards_are_split(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
