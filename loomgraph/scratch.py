@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables made inside are deleted at the end, but for those that the caller appends to the list it is given: what is
+    read later must not read the others."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made, names = _open.pop(), [f for df in kept for f in df.inputFiles()]
+        for path in made:
+            name = path.rsplit("/", 1)[1]
+            if any(f"/{name}/" in f for f in names):
+                if _open:
+                    _open[-1].append(path)
+            else:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
