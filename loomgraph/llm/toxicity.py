@@ -1,26 +1,27 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words, adjacent word pairs and pairs with one word between them are hashed to 64 bits, so that features hardly ever
-collide; a document has a feature or hasn't.  FTRL-proximal gives each coordinate its own learning rate and sets weights
-to exactly zero where the accumulated gradient stays within the L1 term.  Training rows are dealt to
-shards of a fixed expected size, each shard trains by itself, and the sparse models are averaged; the weights that are left are few enough to
-broadcast (``max_weights`` bounds them; beyond it fit() raises the L1 term and trains again).
+Words, adjacent word pairs, pairs with one word between them and truncated stems (the first three to eight letters of a
+word, for languages that inflect and compound) are hashed to 64 bits, so that features hardly ever collide; a document
+has a feature or hasn't.  FTRL-proximal gives each coordinate its own learning rate and sets weights to exactly zero
+where the accumulated gradient stays within the L1 term.  Training rows are dealt to shards of a fixed expected size,
+each shard trains by itself, and the sparse models are averaged; the weights that are left are few enough to broadcast,
+which fit() checks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import word_blocks
-from loomgraph.scratch import materialize
+from loomgraph.scratch import materialize, scratch_scope
 
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LEFT, _RIGHT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -35,27 +36,48 @@ class Weights:
     intercept: float
 
 
+#: Lengths of the truncated stems, in letters.
+STEMS = range(3, 9)
+_MARKS = b".,;:!?\"'()[]{}*#$%&"
+
+
 class _WordHashes(dict):
     """Hashes of words without the punctuation around them; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.strip(b".,;:!?\"'()[]{}*#$%&"), 7)
+        self[word] = h = xxhash.xxh64_intdigest(word.strip(_MARKS), 7)
         return h
 
 
+class _StemHashes(dict):
+    """Hashes of the stems of words, as tuples; with ``known``, only those in it."""
+
+    def __init__(self, known: frozenset[int] | None = None) -> None:
+        self.known = known
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        bare = word.strip(_MARKS).decode("utf-8", "replace")
+        found = (xxhash.xxh64_intdigest(bare[:k].encode(), 100 + k) for k in STEMS if k <= len(bare))
+        self[word] = out = tuple(h for h in found if self.known is None or h in self.known)
+        return out
+
+
 def _mixed(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> np.ndarray:
     x = (a * _LEFT + (b ^ kind)) * _RIGHT
     return x ^ (x >> np.uint64(29))
 
 
-def grams(text: str | None, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
+def grams(text: str | None, hashes: dict[bytes, int], stems: dict[bytes, tuple[int, ...]]) -> Iterator[np.ndarray]:
     """The features of a text, repeats included, in arrays for a block of words each."""
     tail = np.empty(0, np.uint64)
     for words in word_blocks((text or "").lower().encode("utf-8", "surrogatepass")):
         new = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
         yield new
+        yield np.fromiter(set(itertools.chain.from_iterable(map(stems.__getitem__, set(words)))), np.uint64)
         run = np.concatenate([tail, new])
         if len(run) > 1:
             yield _mixed(run[:-1], run[1:], _PAIR)
@@ -114,48 +136,40 @@ def fit(
     shard_rows: int = 5_000,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 16.0,
+    l1: float = 8.0,
     l2: float = 0.0,
-    epochs: int = 6,
+    epochs: int = 4,
     max_weights: int = 1_000_000,
 ) -> Weights:
     """Train on at most max_rows labelled documents (a documented bound: the model's classes are far simpler than it);
     without any, all scores are those of an intercept of -3.  l1 is the same for a shard of any size: by it alone a feature
-    needs more than l1 / epochs rows of some shard (three) to have a weight."""
-
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                found = [np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t.as_py(), hashes)])).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "features"])
-
-    chosen = materialize(training_rows(labels, max_rows=max_rows), "toxicity-rows")  # max_rows bounds the broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-chosen.count() // shard_rows))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(featurise, "doc_id long, y double, features array<long>")
-    rows = materialize(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int")), "toxicity-features")
-
-    while True:
-
-        def train(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.assign(first=[f[0] if len(f) else 0 for f in pdf["features"]])
-            pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "first"])
-            features = [np.asarray(f, np.int64).view(np.uint64) for f in pdf["features"]]
-            keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs)
-            keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
-            return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
-
-        parts = materialize(rows.groupBy("shard").applyInPandas(train, "feature long, w double, bias boolean"), "toxicity-models")
+    needs more than l1 / epochs rows of some shard (three) to have a weight.
+
+    An id that repeats with several texts gives one row, the text that hashes lowest, so that shards keep their size.
+    A model of more than max_weights weights isn't broadcast: fit() raises an error that names l1, the term to raise."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, stems = _WordHashes(), _StemHashes()
+        pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "doc_id"])
+        features = [np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes, stems)])) for t in pdf["text"]]
+        keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs)
+        keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
+        return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
+
+    with scratch_scope(docs.sparkSession):
+        chosen = materialize(training_rows(labels, max_rows=max_rows), "toxicity-rows")  # max_rows bounds the broadcast
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        shards = max(1, -(-chosen.count() // shard_rows))
+        rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+        dealt = rows.groupBy(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).alias("shard"))
+        parts = materialize(dealt.applyInPandas(train, "feature long, w double, bias boolean"), "toxicity-models")
         used = parts.where("bias").count()
         if not used:
             return Weights(np.empty(0, np.uint64), np.empty(0), -3.0)
         mean = parts.groupBy("bias", "feature").agg((F.sum("w") / used).alias("w")).where("w <> 0")
-        if mean.count() <= max_weights:
-            break
-        l1 *= 2
-    found = mean.toPandas()
+        found = mean.limit(max_weights + 2).toPandas()
+    if len(found) > max_weights + 1:
+        raise ValueError(f"more than {max_weights} weights: raise l1 ({l1}) or max_weights")
     bias, weights = found[found["bias"]], found[~found["bias"]]
     keys = weights["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -169,11 +183,12 @@ def _score_of(spark: SparkSession, weights: Weights):
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, m = _WordHashes(), model.value
+        stems = _StemHashes(frozenset(m.features.tolist()))
         sieve = np.zeros(1 << 20, bool)
         sieve[m.features & low] = True
 
         def logit(text: str | None) -> float:
-            g = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[sieve[x & low]] for x in grams(text, hashes))]))
+            g = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[sieve[x & low]] for x in grams(text, hashes, stems))]))
             if not len(g):
                 return m.intercept
             at = np.minimum(np.searchsorted(m.features, g), len(m.features) - 1)

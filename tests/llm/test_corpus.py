@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 import zlib
 
@@ -256,10 +258,10 @@ def test_toxicity_learns_words_of_few_rows(spark):
     """Forty words mark the toxic rows; none of them is in 1 % of the rows."""
 
     def marks(i):
-        return " ".join(f"zorn{(i // 16 * 5 + 8 * k) % 40}" for k in range(5)) if i % 16 == 0 else ""
+        return " ".join(f"{(i // 16 * 5 + 8 * k) % 40:02d}zorn" for k in range(5)) if i % 16 == 0 else ""
 
     rows = [(i, prose(i, 40) + " " + marks(i), int(i % 16 == 0)) for i in range(2000)]
-    counts = [sum(f"zorn{k}" in t.split() for _, t, _ in rows) for k in range(40)]
+    counts = [sum(f"{k:02d}zorn" in t.split() for _, t, _ in rows) for k in range(40)]
     assert 3 <= min(counts) and max(counts) < 20
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = rows_of(toxicity.toxicity(frame.drop("toxic"), frame.drop("text")))
@@ -268,6 +270,62 @@ def test_toxicity_learns_words_of_few_rows(spark):
     assert sum(p for p, y in held if not y) < 0.02 * len(held)
 
 
+def _slow_ftrl(rows, labels, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal as published, a coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i, l1):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            w = {i: weight(i, l1) for i in row}
+            b = -z.get("bias", 0.0) / ((beta + n.get("bias", 0.0) ** 0.5) / alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for i, wi in [*w.items(), ("bias", b)]:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * wi
+                n[i] = old + g * g
+    return {i: w for i in z if i != "bias" and (w := weight(i, l1))}, -z["bias"] / ((beta + n["bias"] ** 0.5) / alpha)
+
+
+def test_ftrl_equals_brute_force():
+    rng = random.Random(3)
+    rows = [sorted(rng.sample(range(40), rng.randint(0, 9))) for _ in range(300)]
+    labels = [float(7 in r or 8 in r or rng.random() < 0.05) for r in rows]
+    for l1, epochs in ((0.5, 1), (2.0, 3), (8.0, 4)):
+        keys, w, bias = toxicity.train_ftrl([np.array(r, np.uint64) for r in rows], np.array(labels), 1.0, 1.0, l1, 0.1, epochs)
+        want, slow_bias = _slow_ftrl(rows, labels, 1.0, 1.0, l1, 0.1, epochs)
+        assert dict(zip(keys.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(slow_bias)
+
+
+def test_trained_toxicity_on_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns; the model is a trained one."""
+    rows = [(i, prose(i) + (" vile wretch" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    odd = [(900, None), (901, ""), (902, prose(1, 60_000) + " vile wretch"), (903, "vile wretch"), (903, "vile wretch"), (None, prose(2)), (0, prose(3))]
+    frame = spark.createDataFrame([(i, t, 0.5, 7) for i, t in [*((i, t) for i, t, _ in rows), *odd]], "doc_id long, text string, score double, y int")
+    weights = toxicity.fit(frame, labels)
+    assert 0 < len(weights.features) < 1000
+    found = toxicity.score(frame, weights).collect()
+    assert len(found) == len(rows) + len(odd)
+    of = {r["doc_id"]: r["score"] for r in found if r["doc_id"] is not None and r["doc_id"] >= 900}
+    assert of[900] == of[901] and of[903] > 0.5 and of[902] > of[901]
+    kept = toxicity.drop_toxic(frame, labels)
+    assert kept.columns == frame.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 903 not in ids and 900 in ids and 901 in ids and None in ids and ids.count(0) == 1
+    assert toxicity.drop_toxic(frame.limit(0), labels).count() == 0
+
+
+def test_too_many_weights_are_an_error(spark):
+    rows = [(i, prose(i) + (" vile wretch" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    with pytest.raises(ValueError, match="l1"):
+        toxicity.fit(frame, frame, max_weights=1)
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.toxicity(docs, none).collect()
