@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import materialize
+from loomgraph.llm.rows import ROW, keyed
+from loomgraph.scratch import materialize, scratch_scope
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -223,7 +224,7 @@ def source_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: flo
 def balanced_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str | None = "text",
     source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS,
     cap: float = CAP,
@@ -232,15 +233,16 @@ def balanced_mix(
     fan_in: int = 64,
     heavy: int = 256,
     row_col: str | None = None,
+    size_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of docs; taken = copies * size.
 
     Null texts have size 0.  A null source is a source of its own, last in order.  A source without words has target 0
     and none of its documents is taken.  Rows repeated under one id are documents each.  The draw follows from the rows
     and the seed alone, so reruns agree.  A column ``row`` follows where row_col names a long that tells rows apart; it
-    orders rows that id and size leave equal.  An empty table gives an empty result; other columns play no part.
+    orders rows that id and size leave equal.  Sizes may come in a column of their own (size_col).  An empty table gives an empty result; other columns play no part.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.col(size_col).cast("long") if size_col else n_words(F.col(text_col))).alias("size"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     sizes = materialize(sizes, "mixing-sizes")
     plan = source_plan(sizes, weights, cap)
     buckets = max(1, -(-sizes.count() // bucket_rows))
@@ -267,10 +269,16 @@ def balanced_mix(
     return mixed.select("doc_id", out["source"], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else []))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", as_read: bool = False, **params) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns.  Rows are told apart by a written key: rows repeated
-    under one id, or under none, keep the copies drawn for each."""
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-rows")
-    taken = balanced_mix(keyed, id_col, text_col, source_col, row_col="__row", **params).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    taken = materialize(taken.where("__copies > 0"), "mixing-taken")
-    return keyed.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    under one id, or under none, keep the copies drawn for each.  An empty table gives an empty result.  as_read: see
+    ``rows.keyed``."""
+    named = keyed(docs, as_read)
+    with scratch_scope(docs.sparkSession) as kept:
+        counted = named.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("n"), ROW)
+        counted = materialize(counted, "mixing-rows")
+        taken = balanced_mix(counted, "doc_id", None, "source", row_col="n", size_col="size", **params).where("copies > 0")
+        taken = materialize(counted.select("n", ROW).join(taken.select(F.col("row").alias("n"), F.col("copies").alias("__copies")), "n").drop("n"), "mixing-taken")
+        kept.append(taken)
+    drawn = named.join(taken.hint("shuffle_hash"), ROW)
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import archives, bpe, fingerprint, licenses, mixing, pii, sharding, simhash, topk, toxicity
+from loomgraph.llm import archives, bpe, fingerprint, licenses, mixing, neardup, pii, sharding, simhash, topk, toxicity
 
 WORDS = "the of river stone under light seven walks green window paper quiet over about mountain letters found along road".split()
 
@@ -65,7 +65,7 @@ def test_simhash_equals_brute_force(docs, empty):
             assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == reach[r["doc_id"]]
         else:
             assert r["fingerprint"] == f"{slow_simhash(prose(4)):016x}"
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
 def _linked(prints, i, j):
@@ -80,7 +80,7 @@ def _linked(prints, i, j):
 
 
 def test_keep_one_keeps_one(docs):
-    kept = simhash.keep_one(docs)
+    kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(5) == 1 and 6 not in ids and 0 in ids and 1 not in ids and None in ids
@@ -90,10 +90,47 @@ def test_keep_one_goes_by_rows(spark):
     """Copies without an id go; unrelated texts under one id stay; a copy under a shared id goes."""
     a, b, c, d = (prose(k) for k in (11, 12, 13, 14))
     rows = [(None, a), (None, a), (None, a), (1, b), (1, c), (1, d), (0, d), (None, c)]
-    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    kept = [tuple(r) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(kept, key=str) == sorted([(None, a), (1, b), (1, c), (0, d)], key=str)
 
 
+def _shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0d]+", text.lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("limit", [3, 512])
+def test_near_copies_at_the_wanted_similarity(spark, limit):
+    """Groups of edited copies, among them a crowd with a common head, against all pairs by exact Jaccard."""
+    rng, rows = random.Random(9), []
+    for g in range(30):
+        base = prose(1000 + g, 300).split()
+        for c in range(12 if g == 0 else 3):
+            words = list(base)
+            for _ in range(rng.randint(0, 14)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(prose(1000, 300).split()[:100]) + " " + prose(2000 + i, 200)) for i in range(10)]
+    sets = [_shingle_set(t) for _, t in rows]
+    kept = {r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shard_limit=limit).collect()}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i)}
+    near = {p: x for p, x in like.items() if x >= 0.8}
+    assert len(near) > 20
+    missed = [p for p in near if p[0] in kept and p[1] in kept]
+    assert len(missed) <= 0.02 * len(near)
+    gone = [i for i in range(len(rows)) if i not in kept]
+    assert all(max(x for p, x in like.items() if i in p) > 0.65 for i in gone)
+
+
+def test_wide_simhash_tells_similarity():
+    rng = np.random.default_rng(2)
+    common, own = rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    a, b = np.r_[common, own[:50]], np.r_[common, own[50:]]  # Jaccard 0.8
+    d = (int.from_bytes(neardup.wide_simhash(a), "big") ^ int.from_bytes(neardup.wide_simhash(b), "big")).bit_count()
+    assert abs(d - 155) < 45 and neardup.radius_at(0.8) == 181
+    assert set(neardup.band_keys(a)) & set(neardup.band_keys(b))
+
+
 def test_links_when_all_shards_are_split(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
