@@ -4,11 +4,12 @@ A rolling hash over the bytes of a text cuts it where the hash has a given patte
 documents fall into equal chunks.  A first pass counts the chunks of all documents; those that occur more than once are
 shared.  A second pass encodes whatever isn't shared where it lies.  Shared chunks are brought together by their 128-bit
 hash and encoded once each, and their ids go to the documents that have them.  There the pieces are joined: around each
-join a few tokens on either side are turned back into text and encoded again, ever more of them, until the window ends
-at both sides where no token of the whole text can cross.  From there on the ids agree with those of the whole text.
+join a few tokens on either side are turned back into text and encoded again, ever more of them, until they agree with
+what was there on both sides.  From there on the ids are those of the whole text.
 
-Such places are those between a character that isn't white space and one that is: the pre-tokenizer's pattern takes
-white space only at a token's start, looks no further back, and special tokens hold none.
+A window may end between a character that isn't white space and one that is: the pre-tokenizer's pattern takes white space
+only at a token's start, looks no further back, and special tokens hold none.  It may also end amid a run of letters, if
+its outermost token is the one that was there before.
 
 Which chunks are shared is told by a sieve of fixed size (``sieve_bits``).  It has every shared chunk; the fuller it is,
 the more other chunks it takes for shared, which costs shuffled bytes and changes no result.
@@ -42,6 +43,9 @@ PIECE = 1 << 16
 #: Where no token crosses: before white space that follows something else.  Python's white space is a little more than
 #: the pre-tokenizer's, so what follows must be one of four that are white space to both.
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: Letters of old blocks, on which all versions of Unicode agree.
+_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+_LETTER, _THREE = re.compile(_LETTERS), re.compile(_LETTERS + "{3}$")
 
 
 def default_path() -> str:
@@ -63,6 +67,9 @@ class Codec:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space") or spec["normalizer"]:
+            raise ValueError(f"{path}: joins are known for byte-level BPE with its own pattern only, without a prefix space or normalizer")
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
@@ -155,16 +162,38 @@ def _no_crossing(ids: list[int], i: int, c: Codec) -> bool:
     return bool(before) and not before[-1].isspace()
 
 
+def _in_letters(ids: list[int], i: int, c: Codec) -> bool:
+    """Whether token i starts amid a run of letters that the pre-tokenizer takes whole: three letters before it (an
+    apostrophe takes up to two along), one after, and nothing of a special token near."""
+    before = c.decode_bytes(ids[max(0, i - 16) : i]).decode("utf-8", "replace")[-16:]
+    after = c.decode_bytes(ids[i : i + 16]).decode("utf-8", "replace")[:16]
+    return bool(_THREE.search(before)) and bool(_LETTER.match(after)) and "|" not in before + after
+
+
 def extend(ids: list[int], more: list[int], c: Codec) -> None:
     """Make ids, of a text, those of that text and the one of ``more`` together.  The tokens around the join are encoded
-    again; the window grows on either side until it ends where no token crosses, or where the text does."""
-    a, b = len(ids), 0
-    while a > 0 and (a == len(ids) or not _no_crossing(ids, a, c)):
-        a -= 1
-    while b < len(more) and (b == 0 or not _no_crossing(more, b, c)):
-        b += 1
-    window = c.decode_bytes(ids[a:]) + c.decode_bytes(more[:b])
-    ids[a:] = c.encode(window.decode("utf-8", "surrogatepass"))
+    again.  The window grows on either side until it ends where no token crosses, or where the text does, or amid letters
+    with the very token that was there before: a sequence in which each two neighbours are what BPE makes of their text
+    is what it makes of the whole, so from there on the ids agree."""
+
+    def place(side: list[int], i: int, by: int) -> int:
+        """The next place from i on at which a window may end, ``by`` tokens on at least."""
+        i += by
+        step = 1 if by > 0 else -1
+        while 0 < i < len(side) and not (_no_crossing(side, i, c) or _in_letters(side, i, c)):
+            i += step
+        return min(max(i, 0), len(side))
+
+    a, b, by = place(ids, len(ids), -1), place(more, 0, 1), 1
+    while True:
+        new = c.encode((c.decode_bytes(ids[a:]) + c.decode_bytes(more[:b])).decode("utf-8", "surrogatepass"))
+        left = a == 0 or _no_crossing(ids, a, c) or new[0] == ids[a]
+        right = b == len(more) or _no_crossing(more, b, c) or new[-1] == more[b - 1]
+        if left and right:
+            break
+        by *= 2
+        a, b = a if left else place(ids, a, -by), b if right else place(more, b, by)
+    ids[a:] = new
     ids += more[b:]
 
 
@@ -221,11 +250,21 @@ def encode_documents(
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A finished row for a document without shared chunks; of others a row for each shared chunk, with its text,
-        and for each stretch between these, with its ids."""
+        """A finished row for a document without shared chunks; of others a row for each shared chunk, with its text where
+        the task meets it first, and for each stretch between these, with its ids."""
         c, bits, n = codec(path), sieve.value, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         piece_names, piece_kinds = ["row", "at", "key", *names], [pa.int64(), pa.int64(), pa.binary(), *kinds]
 
+        seen: set[bytes] = set()
+
+        def text_of(key: bytes, data: bytes) -> bytes | None:
+            if key in seen:
+                return None
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen.add(key)
+            return data
+
         def shared(x: bytes) -> bool:
             h = xxhash.xxh3_64_intdigest(x)
             return bool(int(bits[(h & low) >> 6]) >> (h & 63) & 1)
@@ -249,7 +288,8 @@ def encode_documents(
                     for at, (is_shared, xs) in enumerate(runs):
                         data = b"".join(xs)
                         if is_shared:
-                            out.append((n, at, xxhash.xxh3_128_digest(data), doc_id, None, None, None, data))
+                            key = xxhash.xxh3_128_digest(data)
+                            out.append((n, at, key, doc_id, None, None, None, text_of(key, data)))
                         else:
                             plain.append((n, at, doc_id, data.decode("utf-8", "surrogatepass"), False))
                 for (row, at, doc_id, _, whole), ids in zip(plain, c.encode_batch([p[3] for p in plain]), strict=True):
@@ -281,7 +321,7 @@ def encode_documents(
     found = materialize(texts.mapInArrow(pieces, f"row long, at long, key binary, {result}"), "bpe-pieces")
     done = found.where("at is null").select(*names)
     refs = found.where("key is not null")
-    dictionary = refs.groupBy("key").agg(F.first("ids").alias("text")).mapInArrow(encode_chunks, "key binary, ids binary")
+    dictionary = refs.where("ids is not null").groupBy("key").agg(F.first("ids").alias("text")).mapInArrow(encode_chunks, "key binary, ids binary")
     given = refs.select("row", "at", "doc_id", "key").join(dictionary, "key").select("row", "at", "doc_id", "ids")
     own = found.where("at is not null and key is null").select("row", "at", "doc_id", "ids")
     whole = given.unionByName(own).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("at", "ids")).alias("parts"))

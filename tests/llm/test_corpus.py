@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +235,37 @@ def test_joins_are_repaired():
         assert ids == t.encode(text, add_special_tokens=False).ids
 
 
+def test_joins_in_texts_without_white_space():
+    """Wherever a text is cut, the joined ids are those of the whole; long texts without white space join in linear time."""
+    c, rng = bpe.codec(bpe.default_path()), random.Random(4)
+    pools = ["\u4e00\u4e8c\u4eba\u5927\u5b66\u65e5\u672c", "abcdeest'srenghl", "\u00e9\u00e8aun'|<>", "\uac00\ub098\ub2e41", "a're've'll<|endoftext|>b "]
+    for k in range(400):
+        text = "".join(rng.choice(pools[k % len(pools)]) for _ in range(rng.randint(2, 120)))
+        if k % 3 == 0:
+            at = rng.randint(0, len(text))
+            text = text[:at] + "<|endoftext|>" + text[at:]
+        cut = sorted(rng.randint(0, len(text)) for _ in range(3))
+        ids = []
+        for part in (text[: cut[0]], text[cut[0] : cut[1]], text[cut[1] : cut[2]], text[cut[2] :]):
+            bpe.extend(ids, c.encode(part), c)
+        assert ids == c.tokenizer.encode(text, add_special_tokens=False).ids, text
+    passages = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(900)) for _ in range(20)]
+    text = "".join(rng.choice(passages) for _ in range(370))  # 1 MB
+    began, ids = time.perf_counter(), []
+    for x in bpe.chunks(text):
+        bpe.extend(ids, c.encode(x.decode()), c)
+    assert time.perf_counter() - began < 30
+    assert ids == c.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_pre_tokenizers_are_an_error(tmp_path):
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Codec(str(tmp_path / "other.json"))
+
+
 def test_chunks_are_found_again_and_lose_nothing():
     a, shared = prose(11, 3000), prose(12, 3000)
     x, y = list(bpe.chunks(a + shared)), list(bpe.chunks("zz" + shared + a[:500]))
