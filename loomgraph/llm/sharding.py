@@ -9,6 +9,8 @@ the ranges before it say where a range's slots begin.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +23,35 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` things, out of good and bad ones without replacement, are good.  numpy has populations below
+    1e9; larger ones go by inversion, over probabilities from the ratios of neighbours within 12 standard deviations of
+    the mode (what lies beyond is less than a double can tell)."""
+    total = good + bad
+    if total < 10**9:
+        return int(rng.hypergeometric(good, bad, drawn))
+    share = good / total
+    reach = int(12 * math.sqrt(drawn * share * (1 - share) * (1 - drawn / total)) + 40)
+    mode = (drawn + 1) * (good + 1) // (total + 2)
+    low, high = max(0, drawn - bad, mode - reach), min(drawn, good, mode + reach)
+    k = np.arange(low, high, dtype=float)
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right").clip(0, len(sums) - 1))
+
+
 def communication_matrix(parts: list[int], blocks: list[int], seed: int) -> np.ndarray:
     """Rows from each part to each block: margins as given, distributed as under a uniform permutation."""
-    rng, left = np.random.default_rng(seed), np.array(blocks, np.int64)
+    rng, left = np.random.default_rng(seed), list(blocks)
     out = np.zeros((len(parts), len(blocks)), np.int64)
     for i, n in enumerate(parts):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[i]
+        others = sum(left)
+        for j, size in enumerate(left):
+            others -= size
+            out[i, j] = hypergeometric(rng, size, others, n) if n else 0
+            left[j] -= int(out[i, j])
+            n -= int(out[i, j])
     return out
 
 
@@ -80,6 +104,7 @@ def sharded_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, seed: int = 42, block_rows: int = 1_000_000) -> None:
-    """Write df as one folder of Parquet files for each shard, rows in the order of their slots."""
+    """Write df as one folder of Parquet files for each shard, rows in the order of their slots.  Nulls and repeated rows
+    are carried along; an empty table writes no shard."""
     placed = shuffle_into_shards(df, shards, seed, block_rows).withColumn("__block", F.floor(F.col("slot") / block_rows))
     placed.repartition("shard", "__block").sortWithinPartitions("shard", "slot").drop("__block").write.partitionBy("shard").parquet(path)

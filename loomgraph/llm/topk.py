@@ -18,23 +18,33 @@ from pyspark.sql import functions as F
 from loomgraph.scratch import materialize
 
 SCALE = 256
-#: Components up to 2**26 keep inner products of up to 2**10 dimensions within a long.
-LARGEST = 1 << 26
+#: Where scaled components and scores end: those beyond count as this, so that they fit into a long.
+_END = 1 << 62
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)`` with floor(scale * x) of each component.  Rows take no part whose id or vector is null, or whose
-    vector is empty or holds a null or non-finite component, or one beyond LARGEST once scaled."""
-    x = F.transform(F.col(vector_col), lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    finite = F.forall(F.col(vector_col), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) <= LARGEST / scale))
+    """``(vec_id, v)`` with floor(scale * x) of each component, at most 2**62 in size.  Rows take no part whose id or vector
+    is null, or whose vector holds a null or non-finite component."""
+
+    def whole(c):
+        x = F.lit(float(scale)) * c.cast("double")
+        return F.when(F.abs(x) < float(_END), F.floor(x)).otherwise(F.when(x > 0, F.lit(_END)).otherwise(F.lit(-_END)))
+
+    finite = F.forall(F.col(vector_col), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    return rows.where(finite & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
+    return rows.where(finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, whole).alias("v"))
+
 
+def _most(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
 
-def _scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Inner products, candidates by queries.  In doubles where these hold them exactly."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * queries.shape[1]
-    if most < 2**53:
+
+def _scores(queries: np.ndarray, block: np.ndarray, wide: bool) -> np.ndarray:
+    """Inner products, candidates by queries: in doubles where these hold them exactly, in longs where those do, or else
+    (wide) in Python's integers."""
+    if wide:
+        return block.astype(object) @ queries.astype(object).T if block.shape[1] else np.full((len(block), len(queries)), 0, object)
+    if _most(queries) * _most(block) * queries.shape[1] < 2**53:
         return np.rint(block.astype(float) @ queries.astype(float).T).astype(np.int64)
     return block @ queries.T
 
@@ -44,7 +54,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[
         for i in range(0, b.num_rows, rows):
             part = b.slice(i, rows)
             flat = part.column("v").flatten().to_numpy(zero_copy_only=False)
-            yield part.column("vec_id").to_numpy(zero_copy_only=False), flat.reshape(-1, dim)
+            yield part.column("vec_id").to_numpy(zero_copy_only=False), flat.reshape(part.num_rows, dim)
 
 
 def _search(ids: np.ndarray, queries: np.ndarray, table: DataFrame, k: int, bins: int) -> DataFrame:
@@ -54,8 +64,11 @@ def _search(ids: np.ndarray, queries: np.ndarray, table: DataFrame, k: int, bins
     block = spark.sparkContext.broadcast((ids, queries))
     table = table.where(F.size("v") == dim)
     norms = table.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("m")).first()["m"] or 0
-    bound = np.abs(queries).sum(axis=1) * norms + 1
-    low, high, wanted = -bound, bound + 1, np.full(count, k)  # the kth score lies in [low, high)
+    bound = np.abs(queries.astype(object)).sum(axis=1) * norms + 1 if dim else np.full(count, 1, object)
+    wide = max(bound) >= _END
+    kind = object if wide else np.int64
+    bound = bound.astype(kind)
+    low, high, wanted = -bound, bound + 1, np.full(count, k, np.int64)  # the kth score lies in [low, high)
 
     while True:
         width = np.maximum(1, -(-(high - low) // bins))
@@ -65,9 +78,9 @@ def _search(ids: np.ndarray, queries: np.ndarray, table: DataFrame, k: int, bins
             (own, q), (low, high, width) = block.value, ranges.value
             counts = np.zeros(count * bins, np.int64)
             for vec_ids, v in _blocks(batches, dim, rows):
-                s = _scores(q, v)
+                s = _scores(q, v, wide)
                 inside = (s >= low) & (s < high) & (vec_ids[:, None] != own)
-                cells = ((s - low) // width + np.arange(count) * bins)[inside]
+                cells = ((s - low) // width + np.arange(count) * bins)[inside].astype(np.int64)
                 counts += np.bincount(cells, minlength=count * bins)
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
@@ -85,15 +98,15 @@ def _search(ids: np.ndarray, queries: np.ndarray, table: DataFrame, k: int, bins
         low, high = np.where(found, low + chosen * width, low), np.where(found, low + (chosen + 1) * width, low + 1)
         if (width == 1).all() or not counts.any():
             break
-        low, high = low.astype(np.int64), high.astype(np.int64)
+        low, high = low.astype(kind), high.astype(kind)
 
-    limits = spark.sparkContext.broadcast((low, wanted))
+    limits = spark.sparkContext.broadcast(low)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, q), (low, ties) = block.value, limits.value
-        held = [np.empty(0, np.int64)] * 3  # query, id, score: this task's best k of each query at most
+        (own, q), low = block.value, limits.value
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)]  # query, id, score: this task's best k of each query at most
         for vec_ids, v in _blocks(batches, dim, rows):
-            s = _scores(q, v)
+            s = _scores(q, v, wide)
             r, c = np.nonzero((s >= low) & (vec_ids[:, None] != own))
             held = [np.r_[x, y] for x, y in zip(held, (c, vec_ids[r], s[r, c]), strict=True)]
             order = np.lexsort((held[1], -held[2], held[0]))
@@ -101,10 +114,15 @@ def _search(ids: np.ndarray, queries: np.ndarray, table: DataFrame, k: int, bins
             starts = np.r_[True, held[0][1:] != held[0][:-1]] if len(order) else np.empty(0, bool)
             place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0)) if len(order) else np.empty(0, int)
             held = [x[place < k] for x in held]
-        yield pa.RecordBatch.from_arrays([pa.array(own[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "vec_id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = table.mapInArrow(pick, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best))
+        ends = [max(-_END, min(_END, x)) for x in held[2].tolist()]
+        exact = [f"{x:+d}" for x in held[2].tolist()] if wide else [None] * len(ends)
+        yield pa.RecordBatch.from_arrays([pa.array(own[held[0]]), pa.array(held[1]), pa.array(ends, pa.int64()), pa.array(exact, pa.string())], ["query_id", "vec_id", "score", "exact"])
+
+    # Beyond a long the exact scores decide, which are compared by sign, length and digits.
+    up, size = F.col("exact").startswith("+"), F.length("exact")
+    order = [F.desc("score"), F.desc(F.coalesce(F.when(up, size).otherwise(-size), F.lit(0))), F.desc(F.when(up, F.col("exact"))), F.asc(F.when(~up, F.col("exact"))), "vec_id"]
+    best = Window.partitionBy("query_id").orderBy(*order)
+    ranked = table.mapInArrow(pick, "query_id long, vec_id long, score long, exact string").withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -116,7 +134,7 @@ def top_k(
 
     Queries are taken ``block`` at a time: a block's vectors and its histograms are all that is broadcast or held, so
     memory doesn't follow the number of queries.  Vectors are compared with those of their own length.  Vectors that
-    quantised() leaves out take no part.  Of queries repeated under one id the smallest vector asks; a query's own id is
+    quantised() leaves out take no part.  Scores beyond 2**62 in size rank by their exact values and are returned as it.  Of queries repeated under one id the smallest vector asks; a query's own id is
     no candidate; other repeated rows are candidates each.  An empty table gives an empty result.
     """
     table = materialize(quantised(vectors, id_col, vector_col, scale), "topk-vectors")
@@ -131,7 +149,7 @@ def top_k(
             lo, hi = (i << 20) // parts, ((i + 1) << 20) // parts
             asked = own.where((F.col("slot") >= lo) & (F.col("slot") < hi)).orderBy("vec_id").toPandas()
             if len(asked):
-                found = _search(asked["vec_id"].to_numpy(np.int64), np.array(asked["v"].tolist(), np.int64).reshape(-1, dim), table, k, bins)
+                found = _search(asked["vec_id"].to_numpy(np.int64), np.array(asked["v"].tolist(), np.int64).reshape(len(asked), dim), table, k, bins)
                 results.append(materialize(found, "topk-block") if parts > 1 else found)
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

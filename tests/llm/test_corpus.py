@@ -446,6 +446,21 @@ def test_top_k_equals_brute_force(spark, block, bins):
     assert {r["query_id"] for r in found} == {0, 50, 100, 150, 200, 250, 500}
 
 
+def test_top_k_of_large_components(spark):
+    """On both sides of what doubles and longs hold, beside empty vectors and a component beyond a long."""
+    rng = random.Random(8)
+    for size in (2.0**17, 2.0**19, 2.0**24, 2.0**40, 2.0**80):
+        rows = [(i, [rng.uniform(-size, size) for _ in range(3)]) for i in range(60)] + [(100, []), (101, []), (102, [float("inf"), 0.0, 1.0])]
+        q = {i: [max(-(1 << 62), min(1 << 62, math.floor(256 * x))) for x in v] for i, v in rows if i != 102}
+        want = set()
+        for i in q:
+            if i % 50 == 0:
+                near = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i and len(q[j]) == len(q[i]))[:5]
+                want |= {(i, r + 1, j, max(-(1 << 62), min(1 << 62, -x))) for r, (x, j) in enumerate(near)}
+        found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        assert {tuple(r) for r in found.collect()} == want
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -589,6 +604,30 @@ def test_matrix_margins_and_mean():
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_matrix_of_a_huge_table():
+    parts, blocks = [10**11 // 7 + i for i in range(7)], sharding.shard_sizes(sum(10**11 // 7 + i for i in range(7)), 8)
+    m = sharding.communication_matrix(parts, blocks, 1)
+    assert m.sum(axis=1).tolist() == parts and m.sum(axis=0).tolist() == blocks
+    assert np.abs(m / np.outer(np.array(parts, float), blocks) * sum(parts) - 1).max() < 1e-3
+
+
+def test_hypergeometric_by_inversion(monkeypatch):
+    """The inversion, on a population that numpy has too: equal means and spreads."""
+    rng, good, bad, drawn = np.random.default_rng(4), 600_000_000, 700_000_000, 5_000
+    x = np.array([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(4000)])
+    y = rng.hypergeometric(6_000_000, 7_000_000, drawn, 4000)
+    assert abs(x.mean() - y.mean()) < 4 * y.std() / 30 and abs(x.std() / y.std() - 1) < 0.08
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(i % 7, None if i % 5 == 0 else f"t{i}") for i in range(100)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in back), key=str) == sorted(rows, key=str)
+    assert sorted((r["shard"], r["slot"]) for r in back) == [(s, i) for s, n in enumerate((34, 33, 33)) for i in range(n)]
+    sharding.write_shards(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"))
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, prose(i % 50, 80), "en", f"s{i % 3}", 1) for i in range(150)] + [(200, None, None, None, None), (201, "", "en", "s1", 0)]
