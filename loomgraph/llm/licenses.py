@@ -20,7 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notices of common licenses, as their public texts have them.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+    "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU_TAIL = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details. You should have received a copy of the GNU "
+    "{} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+
+# Texts and notices of common licenses, as their public texts have them.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -30,26 +56,55 @@ TEMPLATES = {
     'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
-    "this permission notice shall be included in all copies or substantial portions of the Software.",
+    "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+    '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list "
-    "of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-    "distribution.",
+    "granted, provided that the above copyright notice and this permission notice appear in all copies. " + _AS_IS,
+    "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
+    "BSD-3-Clause": _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission. " + _BSD_TAIL,
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
     "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
     '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-    "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
-    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "later version. " + _GNU_TAIL.format("General Public License", "General Public License"),
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version. " + _GNU_TAIL.format("Lesser General Public License", "Lesser General Public License"),
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version. " + _GNU_TAIL.format("Affero General Public License", "Affero General Public License"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+    "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+    "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The "
+    "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+    "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered "
+    "source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice "
+    "may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
     "purpose, commercial or non-commercial, and by any means.",
 }
+#: What tells a license from its neighbours.  A match must have each of these runs of words, word after word.
+NAMING = {
+    "MIT-line": ["MIT License"],
+    "Apache-2.0-line": ["Apache License", "2.0"],
+    "GPL-3.0-line": ["GNU General Public License", "3"],
+    "CC-BY-NC-4.0-line": ["CC BY-NC 4.0"],
+    "Apache-2.0": ["Apache License"],
+    "GPL-3.0": ["GNU General Public License"],
+    "LGPL-3.0": ["GNU Lesser General Public License"],
+    "AGPL-3.0": ["GNU Affero General Public License"],
+    "MPL-2.0": ["Mozilla Public License"],
+    "BSD-3-Clause": ["Neither the name of"],
+}
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _LIMIT = 1 << 20
@@ -112,18 +167,30 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _named(found: list[tuple[int, int]], runs: list[list[int]]) -> bool:
+    """Whether each run of words (its places in the template, and its length) is aligned, word after word in the text."""
+    if not found:
+        return False
+    at = {t: i for i, t in found}
+    return all(any(all(at.get(p + k, -1) == at.get(p, -2) + k for k in range(size)) for p in places) for *places, size in runs)
+
+
 class Scanner:
     """Finds templates in texts."""
 
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float, naming: dict[str, list[str]] | None = None) -> None:
         self.coverage = coverage
         self.vocabulary: dict[str, int] = {}
         self.templates = []
         for name, text in templates.items():
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            self.templates.append((name, ids))
+            runs = []
+            for words in map(words_of, (naming or {}).get(name, [])):
+                own = [self.vocabulary.get(w, -1) for w in words]
+                runs.append([i for i in range(len(ids)) if ids[i : i + len(own)] == own] + [len(own)])
+            self.templates.append((name, ids, runs))
         self.members = np.zeros((len(self.templates), len(self.vocabulary) + 1), bool)
-        for k, (_, ids) in enumerate(self.templates):
+        for k, (_, ids, _) in enumerate(self.templates):
             self.members[k, ids] = True
 
     def _words(self, text: str) -> Iterator[list[str]]:
@@ -143,7 +210,7 @@ class Scanner:
         if not ids.any():
             return []
         out = []
-        for k, (name, template) in enumerate(self.templates):
+        for k, (name, template, runs) in enumerate(self.templates):
             size = len(template)
             need = self.coverage * size - 1e-9
             inside = np.concatenate([[0], np.cumsum(self.members[k][ids])])
@@ -157,7 +224,7 @@ class Scanner:
                 for lo, hi in self._stretches(ids[s:e], size, need, self.members[k]):
                     found = align(ids[s + lo : s + hi].tolist(), template)
                     share = len(found) / size
-                    if found and share > best[0]:
+                    if share > best[0] and _named(found, runs):
                         best = (share, s + lo + found[0][0], s + lo + found[-1][0] + 1)
             if best[0] >= self.coverage - 1e-12:
                 out.append((name, *best))
@@ -173,28 +240,33 @@ class Scanner:
                 yield lo, lo + size
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, license, coverage, start_word, end_word, n_licenses)`` for each row of docs.
+def license_scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", naming: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """``(doc_id, license, coverage, start_word, end_word, n_licenses, licenses)`` for each row of docs.
 
-    license is the template with the highest coverage of those with ``coverage`` or more (of equals the longest, then the
-    first), with its place in the text's words; null, with coverage 0, where there is none.  n_licenses counts all that
-    have enough.  Null and empty texts have none.  Repeated rows stay repeated; an empty table gives an empty result; other
-    columns play no part.
+    licenses has each template with ``coverage`` or more, as structs of license, coverage, start_word and end_word: its
+    best place in the text's words, the first of equals.  They come by falling coverage, of equals the longest template,
+    then the first; the four columns before show the head of that list (null, with coverage 0, where it is empty), and
+    n_licenses is its length.  A template counts only where its naming words are aligned.  Null and empty texts have none.
+    Repeated rows stay repeated; an empty table gives an empty result; other columns play no part.
     """
     chosen = dict(TEMPLATES if templates is None else templates)
+    names = NAMING if naming is None and templates is None else naming or {}
     order = {name: (-len(words_of(t)), i) for i, (name, t) in enumerate(chosen.items())}
-    names = ["doc_id", "license", "coverage", "start_word", "end_word", "n_licenses"]
-    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
+    match = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, coverage)
+        scanner = Scanner(chosen, coverage, names)
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted(scanner.scan(text or ""), key=lambda x: (-x[1], order[x[0]]))
-                rows.append((doc_id, *(found[0] if found else (None, 0.0, None, None)), len(found)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            found = [sorted(scanner.scan(text or ""), key=lambda x: (-x[1], order[x[0]])) for text in b.column(1).to_pylist()]
+            rows = [[dict(zip(("license", "coverage", "start_word", "end_word"), x, strict=True)) for x in f] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(match))], ["doc_id", "licenses"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, license string, coverage double, start_word long, end_word long, n_licenses int")
+    found = picked.mapInArrow(run, "doc_id long, licenses array<struct<license: string, coverage: double, start_word: long, end_word: long>>")
+    head = F.get("licenses", 0)
+    return found.select(
+        "doc_id", head["license"].alias("license"), F.coalesce(head["coverage"], F.lit(0.0)).alias("coverage"), head["start_word"].alias("start_word"),
+        head["end_word"].alias("end_word"), F.size("licenses").alias("n_licenses"), "licenses",
+    )

@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Candidates are spans of four kinds.  Base candidates match the strict patterns; wider ones match looser patterns
-(addresses written with "at" and "dot", telephone and card numbers without their marks).  Three kinds of labelers vote on
+Candidates are spans of four kinds.  Base candidates match the strict patterns and pass their tests; misses match and fail
+(wrong check digits, say), and stand for what isn't personal data; wider ones match looser patterns (addresses written with "at" and "dot", telephone and card numbers without their marks).  Three kinds of labelers vote on
 each candidate, yes, no or not at all: patterns (does the strict one hold), gazetteers (known top-level domains, calling
 codes, issuer prefixes) and context (words such as "call" or "card" just before it).  Expectation-maximisation over the
 counts of the vote patterns estimates how reliable each labeler is and how likely each pattern is to be personal data.
@@ -60,6 +60,7 @@ CONTEXT = {
 }
 LABELERS = ("strict", "shape", "gazetteer", "context")
 FEATURES = ("wide", "shape", "gazetteer", "context", "marked", "long")
+_RUN = 64
 _EMPTY = "array<struct<start:int,end:int,match:string,before:string>>"
 
 
@@ -101,7 +102,8 @@ def _parts(text: Column, pattern: str, possible: Column) -> Column:
 
 def _spans(parts: Column, counts=None, context: int = 24) -> Column:
     """The matches in what _parts() returns for which ``counts`` holds, with their positions in code points and what
-    stands before each.  Other matches only move the position on: a text full of numbers carries no list along."""
+    stands before each.  Other matches only move the position on, and matches are listed in runs of _RUN, as a list is
+    copied for each match that joins it."""
 
     def end_of(s: Column) -> Column:
         return F.substring(s, F.greatest(F.length(s) - context + 1, F.lit(1)), F.lit(context))
@@ -114,10 +116,16 @@ def _spans(parts: Column, counts=None, context: int = 24) -> Column:
         kept = more if counts is None else F.when(counts(match), more).otherwise(acc["spans"])
         return F.struct((start + F.length(part) - 1).alias("at"), end_of(rest).alias("before"), kept.alias("spans"))
 
-    first, none = F.element_at(parts, 1), F.array().cast(_EMPTY)
-    begin = F.struct(F.length(first).alias("at"), end_of(first).alias("before"), none.alias("spans"))
-    found = F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda acc: acc["spans"])
-    return F.when(F.size(parts) > 1, found).otherwise(none)
+    none, first = F.array().cast(_EMPTY), F.element_at(parts, 1)
+    each = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / _RUN).cast("int"))
+    runs = F.transform(each, lambda r: F.struct(F.slice(parts, r * _RUN + 2, _RUN).alias("parts"), end_of(F.substring_index(F.element_at(parts, r * _RUN + 1), _CLOSE, -1)).alias("before")))
+    lengths = F.transform(runs, lambda r: F.aggregate(r["parts"], F.lit(0), lambda n, part: n + F.length(part) - 1))
+    starts = F.aggregate(lengths, F.array(F.length(first)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)), lambda at: F.slice(at, 1, F.size(at) - 1))
+
+    def spans_of(run: Column, start: Column) -> Column:
+        return F.aggregate(run["parts"], F.struct(start.alias("at"), run["before"].alias("before"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    return F.when(F.size(parts) > 1, F.flatten(F.zip_with(runs, starts, spans_of))).otherwise(none)
 
 
 def _possible(kind: str, text: Column) -> Column:
@@ -138,13 +146,26 @@ def _passing(kind: str):
     return lambda match: passes(kind, match)
 
 
+def _near_miss(kind: str):
+    """Whether a match has the form of its kind but fails the test."""
+
+    def miss(match: Column) -> Column:
+        has_form = F.length(_digits(match)).between(13, 19) if kind == "card" else F.lit(kind != "email")
+        return has_form & ~passes(kind, match)
+
+    return miss
+
+
 def _apart_from(arrays: list[str]):
-    names = list(arrays)
+    """Whether a span overlaps none of these arrays' spans, which are sorted and don't overlap: of each array the last
+    span that starts before its end is found by halving."""
 
-    def apart(s: Column) -> Column:
-        return ~reduce(Column.__or__, (F.exists(t, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])) for t in names))
+    def overlaps(t: str, s: Column) -> Column:
+        steps = F.array(*(F.lit(1 << k) for k in range(24, -1, -1)))
+        ahead = F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get(t, at + k - 1)["start"] < s["end"], at + k).otherwise(at))
+        return F.coalesce(F.get(t, ahead - 1)["end"] > s["start"], F.lit(False))
 
-    return apart
+    return lambda s: ~reduce(Column.__or__, (overlaps(t, s) for t in arrays))
 
 
 def _of_kind(kind: str):
@@ -152,12 +173,12 @@ def _of_kind(kind: str):
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``base_<kind>`` and ``wide_<kind>``: arrays of spans.  A wide span that overlaps a base span of any kind,
-    or a wide span of an earlier kind, is left out."""
+    """docs with ``base_<kind>``, ``miss_<kind>`` and ``wide_<kind>``: arrays of spans.  Misses have the form of a base span
+    and fail its test.  A wide span that overlaps a base span of any kind, or a wide span of an earlier kind, is left out."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cut = {f"__base_{k}": _parts(text, BASE[k], _possible(k, text)) for k in KINDS} | {f"__wide_{k}": _parts(text, WIDE[k], _possible_wide(k, text)) for k in KINDS}
     out = docs.withColumns(cut)
-    out = out.withColumns({f"base_{k}": _spans(F.col(f"__base_{k}"), _passing(k)) for k in KINDS})
+    out = out.withColumns({f"base_{k}": _spans(F.col(f"__base_{k}"), _passing(k)) for k in KINDS} | {f"miss_{k}": _spans(F.col(f"__base_{k}"), _near_miss(k)) for k in KINDS[1:]})
     taken = [f"base_{k}" for k in KINDS]
     for kind in KINDS:
         free = F.filter(_spans(F.col(f"__wide_{kind}")), _apart_from(taken))
@@ -167,7 +188,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out
 
 
-def _votes(kind: str, wide: bool, s: Column) -> dict[str, Column]:
+def _votes(kind: str, form: str, s: Column) -> dict[str, Column]:
     """Each labeler's vote on a span: 1, 0, or -1 for none."""
     match, digits = s["match"], _digits(s["match"])
     shape = {
@@ -178,17 +199,17 @@ def _votes(kind: str, wide: bool, s: Column) -> dict[str, Column]:
     }[kind]
     yes = lambda c: c.cast("int")
     return {
-        "strict": F.lit(-1 if wide else 1),
+        "strict": F.lit({"base": 1, "miss": 0, "wide": -1}[form]),
         "shape": yes(shape),
         "gazetteer": yes(match.rlike(GAZETTEER[kind])),
         "context": F.when(s["before"].rlike(CONTEXT[kind]), 1).otherwise(-1),
     }
 
 
-def _features(kind: str, wide: bool, s: Column) -> dict[str, Column]:
-    v = _votes(kind, wide, s)
+def _features(kind: str, form: str, s: Column) -> dict[str, Column]:
+    v = _votes(kind, form, s)
     return {
-        "wide": F.lit(int(wide)),
+        "wide": F.lit(int(form == "wide")),
         "shape": v["shape"],
         "gazetteer": v["gazetteer"],
         "context": (v["context"] == 1).cast("int"),
@@ -242,12 +263,14 @@ def logistic(rows: list[tuple[tuple[int, ...], float, float]], steps: int = 400,
 
 
 def fit(found: DataFrame) -> dict[str, list[float]]:
-    """The span classifier of each kind, from the candidates of all documents.  What reaches the driver is a count for
-    each kind, vote pattern and feature vector: at most 4 * 3**4 * 2**6 rows."""
+    """The span classifier of each kind, from the candidates of all documents, near misses included.  What reaches the
+    driver is a count for each kind, vote pattern and feature vector: at most 4 * 3**4 * 2**6 rows."""
     spans = []
-    for kind, wide in itertools.product(KINDS, (False, True)):
-        one = found.select(F.explode(f"{'wide' if wide else 'base'}_{kind}").alias("s"))
-        votes, features = _votes(kind, wide, F.col("s")), _features(kind, wide, F.col("s"))
+    for kind, form in itertools.product(KINDS, ("base", "miss", "wide")):
+        if f"{form}_{kind}" not in found.columns:
+            continue
+        one = found.select(F.explode(f"{form}_{kind}").alias("s"))
+        votes, features = _votes(kind, form, F.col("s")), _features(kind, form, F.col("s"))
         spans.append(one.select(F.lit(kind).alias("kind"), *(votes[x].alias(f"v_{x}") for x in LABELERS), *(features[x].alias(f"f_{x}") for x in FEATURES)))
     keys = ["kind", *(f"v_{x}" for x in LABELERS), *(f"f_{x}" for x in FEATURES)]
     table = reduce(DataFrame.unionByName, spans).groupBy(*keys).count().collect()
@@ -286,7 +309,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: float = 0.5, carry: li
         w = weights[kind]
 
         def test(s: Column) -> Column:
-            f = _features(kind, True, s)
+            f = _features(kind, "wide", s)
             z = reduce(Column.__add__, (F.lit(a) * f[x] for a, x in zip(w[:-1], FEATURES, strict=True)), F.lit(w[-1]))
             return z >= math.log(keep / (1 - keep))
 
@@ -317,7 +340,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs, all columns, with each span of personal data replaced by its kind in brackets; overlapping spans become one,
-    of the kind that starts first.  length_col, where docs has it, is the new length.  Null texts stay null."""
+    of the kind that starts first.  length_col, where docs has it, is the new length.  Null texts stay null, repeated rows
+    stay repeated, an empty table gives an empty result."""
     others = [c for c in docs.columns if c != text_col] or [F.lit(True).alias("alone")]
     inner = docs.select(F.struct(*others).alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = detect(inner).select("doc", "text", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("s"))

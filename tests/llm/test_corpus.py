@@ -417,6 +417,44 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(docs).count() == len(TEXTS) + 2 and licenses.license_scan(empty).count() == 0
 
 
+def test_all_licenses_of_a_text_are_named(spark):
+    mit = licenses.TEMPLATES["MIT"].replace("furnished", "given")
+    texts = [
+        mit + " Licensed under CC BY-NC 4.0.",
+        "It is released under the BSD License.",
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Released under the MIT License. Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.",
+        licenses.TEMPLATES["LGPL-3.0"],
+        licenses.TEMPLATES["BSD-2-Clause"],
+    ]
+    found = rows_of(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    names = {i: [x["license"] for x in r["licenses"]] for i, r in found.items()}
+    assert names[0] == ["CC-BY-NC-4.0-line", "MIT"] and found[0]["n_licenses"] == 2
+    assert names[1] == names[2] == names[3] == []
+    assert names[4] == ["Apache-2.0-line", "MIT-line", "CC-BY-NC-4.0-line"]  # all at 1: the longest first
+    assert names[5][0] == "LGPL-3.0" and "GPL-3.0" not in names[5] and names[6] == ["BSD-2-Clause"]
+
+
+def test_coverage_near_the_longest_common_subsequence():
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(6)
+    for name, text in licenses.TEMPLATES.items():
+        template = licenses.words_of(text)
+        words = [w for w in template if rng.random() > 0.05]
+        for _ in range(len(words) // 20):
+            words.insert(rng.randrange(len(words)), "word")
+        found, best = licenses.align(words, template), lcs(words, template)
+        assert all(words[i] == template[j] for i, j in found) and 0.9 * best <= len(found) <= best, name
+
+
 def test_alignment():
     assert licenses.align(list("xabcdy"), list("abcd")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert licenses.align(list("aXbaYb"), list("aXbaZb")) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)]
@@ -552,6 +590,28 @@ def test_pii_equals_brute_force(spark, docs, empty):
     assert pii.personal_data(docs).count() == len(TEXTS) + 2 and pii.personal_data(empty).count() == 0
 
 
+def test_pii_of_a_text_full_of_it(spark):
+    """Fifty thousand passing matches, and as many wide ones, in one text."""
+    text = "a1@b.com (212) 555-0199 " * 50_000
+    began = time.perf_counter()
+    row = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_email"] == 50_000 and row["spans"].startswith("email:0:8,email:24:32") and time.perf_counter() - began < 60
+    want = ",".join(f"email:{24 * i}:{24 * i + 8}" for i in range(50_000))
+    assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_votes_have_both_sides(spark):
+    """Cards that fail the check digits are misses, on which the strict labeler says no; what reaches the classifier is
+    told apart as planted."""
+    good, bad = "card 4539 1488 0343 6467 now", "order 4539 1488 0343 6468 now"
+    rows = [(i, good if i % 3 else bad) for i in range(300)]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.selectExpr("sum(size(base_card))", "sum(size(miss_card))").first()[:] == (200, 100)
+    rates = pii.em({(1, 1, 1, 1): 200.0, (0, 0, 1, -1): 100.0})
+    assert rates[0][(1, 1, 1, 1)] > 0.9 and rates[0][(0, 0, 1, -1)] < 0.1
+    assert rates[1][0][0] > 0.9 and rates[1][0][1] < 0.2
+
+
 def test_redaction(spark, docs):
     rows = [(1, "write jo@x.com, +1 (377) 555-0271 now", 5), (2, None, 0), (3, "clean", 5)]
     out = rows_of(pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")))
