@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import graph as G
 from loomgraph.functions import embedding, semirings
-from loomgraph.operators import centrality, communities, degree, links, tools, traversal, triangles
+from loomgraph.operators import centrality, communities, degree, distances, links, tools, traversal, triangles
 from loomgraph.streaming import events
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ te AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION A
 ts AS MATERIALIZED (SELECT e.src, e.dst, e.w, count(te.src) AS t FROM e LEFT JOIN te ON e.src = te.src AND e.dst = te.dst GROUP BY 1, 2, 3),
 tn AS (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri),
 tv AS MATERIALIZED (SELECT v.id, count(tn.id) AS t FROM v LEFT JOIN tn ON v.id = tn.id GROUP BY 1)"""
-_THIN, _ALL = _part(2), _part(1)
+_ALL = _part(1)
 
 
 def _query(name: str, sql: str | None = None):
@@ -50,12 +50,12 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def _thin(spark: SparkSession, sf_dir: str) -> G.PropertyGraph:
-    """The co-purchase graph without pairs bought together only once, written once for the operators that read it often."""
+def _whole(spark: SparkSession, sf_dir: str) -> G.PropertyGraph:
+    """The co-purchase graph, written once for the operators that read it often."""
     from loomgraph.scratch import materialize
 
-    g = G.part_graph(spark, sf_dir, 2)
-    return G.PropertyGraph(g.vertices, materialize(g.edges, "thin"), False)
+    g = G.part_graph(spark, sf_dir)
+    return G.PropertyGraph(g.vertices, materialize(g.edges, "part-graph"), False)
 
 
 def _labels(spark: SparkSession, sf_dir: str, column: str = "p_brand") -> DataFrame:
@@ -69,7 +69,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 # -- scans, counts, degrees -------------------------------------------------------------------------------------------
 
 _query("g_edges", f"WITH {_ALL} SELECT src, dst, w FROM e")(lambda s, d: G.part_graph(s, d).edges)
-_query("g_arcs", f"WITH {_THIN} SELECT src, dst, w FROM a")(lambda s, d: G.part_graph(s, d, 2).arcs())
+_query("g_arcs", f"WITH {_ALL} SELECT src, dst, w FROM a")(lambda s, d: G.part_graph(s, d).arcs())
 _query("g_nation_edges", f"WITH {_NATION} SELECT src, dst, w FROM e")(lambda s, d: G.nation_graph(s, d).edges)
 _query(
     "g_supply_edges",
@@ -84,8 +84,8 @@ _query(
     "degrees_in",
     f"WITH {_NATION} SELECT id, count(src) AS degree, coalesce(sum(w), 0.0) AS weighted_degree FROM v LEFT JOIN e ON id = dst GROUP BY id",
 )(lambda s, d: G.nation_graph(s, d).degrees(incoming=True))
-_query("isolated_nodes", f"WITH {_THIN} SELECT id FROM d WHERE degree = 0")(lambda s, d: G.part_graph(s, d, 2).isolated())
-_query("graph_problems", None)(lambda s, d: G.part_graph(s, d, 2).problems())
+_query("isolated_nodes", f"WITH {_ALL} SELECT id FROM d WHERE degree = 0")(lambda s, d: G.part_graph(s, d).isolated())
+_query("graph_problems", None)(lambda s, d: G.part_graph(s, d).problems())
 _query(
     "max_degrees",
     f"""WITH {_NATION}, o AS (SELECT src, count(*) AS n, sum(w) AS w FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS n, sum(w) AS w FROM e GROUP BY 1)
@@ -102,8 +102,8 @@ _query("degree_distribution", f"WITH {_ALL} SELECT degree, count(*) AS nodes FRO
 _query("subgraph", f"WITH {_ALL} SELECT src, dst, w FROM e WHERE src % 3 = 0 AND dst % 3 = 0")(
     lambda s, d: tools.subgraph(g := G.part_graph(s, d), g.vertices.where("id % 3 = 0")).edges
 )
-_query("subgraph_neighbours", f"WITH {_THIN} SELECT src, dst, w FROM e WHERE src % 7 = 0 OR dst % 7 = 0")(
-    lambda s, d: tools.subgraph_and_neighbours(g := G.part_graph(s, d, 2), g.vertices.where("id % 7 = 0")).edges
+_query("subgraph_neighbours", f"WITH {_ALL} SELECT src, dst, w FROM e WHERE src % 7 = 0 OR dst % 7 = 0")(
+    lambda s, d: tools.subgraph_and_neighbours(g := G.part_graph(s, d), g.vertices.where("id % 7 = 0")).edges
 )
 _query("transpose", f"WITH {_NATION} SELECT dst AS src, src AS dst, w FROM e")(lambda s, d: tools.transpose(G.nation_graph(s, d)).edges)
 _query("to_undirected", f"WITH {_NATION} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, w FROM e")(lambda s, d: tools.to_undirected(G.nation_graph(s, d)).edges)
@@ -112,17 +112,17 @@ _query("append", f"WITH {_NATION} SELECT src, dst, w FROM e UNION ALL SELECT src
     lambda s, d: tools.append(g := G.nation_graph(s, d), g).edges
 )
 _query(
-    "remove_nodes", f"WITH {_THIN} SELECT src, dst, w FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0"
-)(lambda s, d: (g := G.part_graph(s, d, 2)).remove_nodes(g.vertices.where("id % 5 = 0")).edges)
+    "remove_nodes", f"WITH {_ALL} SELECT src, dst, w FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0"
+)(lambda s, d: (g := G.part_graph(s, d)).remove_nodes(g.vertices.where("id % 5 = 0")).edges)
 _query(
     "compacted",
-    f"WITH {_THIN}, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM d WHERE degree > 0) SELECT x.n AS src, y.n AS dst, w FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst",
-)(lambda s, d: tools.compacted(tools.subgraph(g := G.part_graph(s, d, 2), g.degrees().where("degree > 0")))[0].edges)
+    f"WITH {_ALL}, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM d WHERE degree > 0) SELECT x.n AS src, y.n AS dst, w FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst",
+)(lambda s, d: tools.compacted(tools.subgraph(g := G.part_graph(s, d), g.degrees().where("degree > 0")))[0].edges)
 _query(
     "graph_difference",
-    f"""WITH e1 AS (SELECT src, dst, w FROM (WITH {_part(2)} SELECT * FROM e)), e2 AS (SELECT src, dst, w FROM (WITH {_part(3)} SELECT * FROM e))
+    f"""WITH e1 AS (SELECT src, dst, w FROM (WITH {_part(1)} SELECT * FROM e)), e2 AS (SELECT src, dst, w FROM (WITH {_part(2)} SELECT * FROM e))
 SELECT 'EDGE_REMOVAL' AS type, src AS u, dst AS v, CAST(NULL AS DOUBLE) AS w FROM e1 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM e2)""",
-)(lambda s, d: tools.difference(G.part_graph(s, d, 2), G.part_graph(s, d, 3)))
+)(lambda s, d: tools.difference(G.part_graph(s, d), G.part_graph(s, d, 2)))
 
 # -- node measures ----------------------------------------------------------------------------------------------------
 
@@ -131,12 +131,12 @@ _query("degree_centrality", f"WITH {_ALL} SELECT id, round(degree / (SELECT CAST
 )
 _query(
     "sfigality",
-    f"WITH {_THIN}, s AS (SELECT a.src, avg(CASE WHEN y.degree > x.degree THEN 1.0 ELSE 0.0 END) AS score FROM a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst GROUP BY 1) SELECT id, round(score, 6) AS score FROM v LEFT JOIN s ON id = src",
-)(lambda s, d: _rounded(degree.sfigality(_thin(s, d)), "score"))
+    f"WITH {_ALL}, s AS (SELECT a.src, avg(CASE WHEN y.degree > x.degree THEN 1.0 ELSE 0.0 END) AS score FROM a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst GROUP BY 1) SELECT id, round(score, 6) AS score FROM v LEFT JOIN s ON id = src",
+)(lambda s, d: _rounded(degree.sfigality(_whole(s, d)), "score"))
 _query(
     "laplacian_centrality",
-    f"WITH {_THIN} SELECT x.id, CAST(any_value(floor(x.wd) * floor(x.wd)) + coalesce(sum(a.w * (a.w + 2 * floor(y.wd))), 0) AS DOUBLE) AS score FROM d x LEFT JOIN a ON a.src = x.id LEFT JOIN d y ON y.id = a.dst GROUP BY 1",
-)(lambda s, d: degree.laplacian_centrality(_thin(s, d)))
+    f"WITH {_ALL} SELECT x.id, CAST(any_value(floor(x.wd) * floor(x.wd)) + coalesce(sum(a.w * (a.w + 2 * floor(y.wd))), 0) AS DOUBLE) AS score FROM d x LEFT JOIN a ON a.src = x.id LEFT JOIN d y ON y.id = a.dst GROUP BY 1",
+)(lambda s, d: degree.laplacian_centrality(_whole(s, d)))
 _query("degree_ranking", f"WITH {_ALL} SELECT id, degree AS score, row_number() OVER (ORDER BY degree DESC, id) - 1 AS place FROM d")(
     lambda s, d: degree.ranking(G.part_graph(s, d).degrees().select("id", F.col("degree").alias("score")))
 )
@@ -148,16 +148,16 @@ _query(
     "gini_degree",
     f"WITH {_ALL}, r AS (SELECT degree AS x, row_number() OVER (ORDER BY degree) AS i FROM d) SELECT round(2.0 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*), 6) AS gini FROM r",
 )(lambda s, d: _rounded(degree.gini(G.part_graph(s, d).degrees(), "degree"), "gini"))
-_query("assortativity_degree", f"WITH {_THIN} SELECT round(corr(x.degree, y.degree), 6) AS assortativity FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst")(
-    lambda s, d: _rounded(degree.assortativity(g := _thin(s, d), g.degrees().select("id", F.col("degree").alias("value"))), "assortativity")
+_query("assortativity_degree", f"WITH {_ALL} SELECT round(corr(x.degree, y.degree), 6) AS assortativity FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst")(
+    lambda s, d: _rounded(degree.assortativity(g := _whole(s, d), g.degrees().select("id", F.col("degree").alias("value"))), "assortativity")
 )
 _query(
     "assortativity_nominal",
-    f"""WITH {_THIN}, {_BRAND}, m AS (SELECT x.label AS p, y.label AS q, count(*) AS n FROM a JOIN b x ON x.id = src JOIN b y ON y.id = dst GROUP BY 1, 2),
+    f"""WITH {_ALL}, {_BRAND}, m AS (SELECT x.label AS p, y.label AS q, count(*) AS n FROM a JOIN b x ON x.id = src JOIN b y ON y.id = dst GROUP BY 1, 2),
 s AS (SELECT sum(n) AS t, sum(n) FILTER (p = q) AS same FROM m), r AS (SELECT p, sum(n) AS n FROM m GROUP BY 1), c AS (SELECT q, sum(n) AS n FROM m GROUP BY 1),
 ch AS (SELECT sum(r.n * c.n) AS ab FROM r JOIN c ON p = q)
 SELECT round((1.0 * same / t - 1.0 * ab / (t * t)) / (1 - 1.0 * ab / (t * t)), 6) AS assortativity FROM s, ch""",
-)(lambda s, d: _rounded(degree.assortativity_nominal(_thin(s, d), _labels(s, d)), "assortativity"))
+)(lambda s, d: _rounded(degree.assortativity_nominal(_whole(s, d), _labels(s, d)), "assortativity"))
 _query(
     "degree_summary",
     f"WITH {_ALL} SELECT count(*) AS n, CAST(min(degree) AS DOUBLE) AS least, quantile_cont(CAST(degree AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(degree AS DOUBLE), 0.5) AS median, quantile_cont(CAST(degree AS DOUBLE), 0.75) AS q3, CAST(max(degree) AS DOUBLE) AS greatest, round(avg(degree), 6) AS mean, round(stddev_samp(degree), 6) AS deviation FROM d",
@@ -165,105 +165,110 @@ _query(
 
 # -- triangles and edge scores ----------------------------------------------------------------------------------------
 
-_query("triangles_edge", f"WITH {_THIN}, {_TRIANGLES} SELECT src, dst, t AS score FROM ts")(lambda s, d: triangles.triangle_edge_score(_thin(s, d)))
-_query("triangles_node", f"WITH {_THIN}, {_TRIANGLES} SELECT id, t AS triangles FROM tv")(lambda s, d: triangles.node_triangles(_thin(s, d)))
+_query("triangles_edge", f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, t AS score FROM ts")(lambda s, d: triangles.triangle_edge_score(_whole(s, d)))
+_query("triangles_node", f"WITH {_ALL}, {_TRIANGLES} SELECT id, t AS triangles FROM tv")(lambda s, d: triangles.node_triangles(_whole(s, d)))
 _query(
     "local_clustering",
-    f"WITH {_THIN}, {_TRIANGLES} SELECT id, round(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END, 6) AS score FROM tv JOIN d USING (id)",
-)(lambda s, d: _rounded(triangles.local_clustering(_thin(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT id, round(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END, 6) AS score FROM tv JOIN d USING (id)",
+)(lambda s, d: _rounded(triangles.local_clustering(_whole(s, d)), "score"))
 _query(
     "clustering",
-    f"""WITH {_THIN}, {_TRIANGLES} SELECT round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS average_local,
+    f"""WITH {_ALL}, {_TRIANGLES} SELECT round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS average_local,
 round(sum(t) / sum(degree * (degree - 1) / 2.0), 6) AS global FROM tv JOIN d USING (id)""",
-)(lambda s, d: _rounded(triangles.clustering(_thin(s, d)), "average_local", "global"))
+)(lambda s, d: _rounded(triangles.clustering(_whole(s, d)), "average_local", "global"))
 _query(
     "quadrangles_edge",
-    f"""WITH {_THIN} SELECT e.src, e.dst, count(z.src) AS score FROM e LEFT JOIN a x ON x.src = e.src AND x.dst <> e.dst LEFT JOIN a y ON y.src = e.dst AND y.dst <> e.src AND y.dst <> x.dst
+    f"""WITH {_ALL} SELECT e.src, e.dst, count(z.src) AS score FROM e LEFT JOIN a x ON x.src = e.src AND x.dst <> e.dst LEFT JOIN a y ON y.src = e.dst AND y.dst <> e.src AND y.dst <> x.dst
 LEFT JOIN a z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1, 2""",
-)(lambda s, d: triangles.quadrangle_edge_score(_thin(s, d)))
+)(lambda s, d: triangles.quadrangle_edge_score(_whole(s, d)))
 _query(
     "jaccard_distance",
-    f"WITH {_THIN}, {_TRIANGLES} SELECT src, dst, round(1 - 1.0 * t / (x.degree + y.degree - t), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.jaccard_distance(_thin(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round(1 - 1.0 * t / (x.degree + y.degree - t), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
+)(lambda s, d: _rounded(triangles.jaccard_distance(_whole(s, d)), "score"))
 _query(
     "adamic_adar_distance",
-    f"""WITH {_THIN}, {_TRIANGLES}, u AS (SELECT a AS src, b AS dst, c AS id FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri),
+    f"""WITH {_ALL}, {_TRIANGLES}, u AS (SELECT a AS src, b AS dst, c AS id FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri),
 s AS (SELECT src, dst, 1 / sum(1 / ln(degree)) AS score FROM u JOIN d USING (id) GROUP BY 1, 2) SELECT e.src, e.dst, round(score, 6) AS score FROM e LEFT JOIN s USING (src, dst)""",
-)(lambda s, d: _rounded(triangles.adamic_adar_distance(_thin(s, d)), "score"))
+)(lambda s, d: _rounded(triangles.adamic_adar_distance(_whole(s, d)), "score"))
 _query(
     "scan_score",
-    f"WITH {_THIN}, {_TRIANGLES} SELECT src, dst, round((t + 1) / sqrt((x.degree + 1) * (y.degree + 1)), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.scan_score(_thin(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round((t + 1) / sqrt((x.degree + 1) * (y.degree + 1)), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
+)(lambda s, d: _rounded(triangles.scan_score(_whole(s, d)), "score"))
 _query(
     "chance_corrected_triangles",
-    f"""WITH {_THIN}, {_TRIANGLES} SELECT src, dst, round(CASE WHEN t > 0 THEN 1.0 * t * ((SELECT count(*) FROM v) - 2) / ((x.degree - 1) * (y.degree - 1)) WHEN x.degree = 1 OR y.degree = 1 THEN 1.0 ELSE 0.0 END, 6) AS score
+    f"""WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round(CASE WHEN t > 0 THEN 1.0 * t * ((SELECT count(*) FROM v) - 2) / ((x.degree - 1) * (y.degree - 1)) WHEN x.degree = 1 OR y.degree = 1 THEN 1.0 ELSE 0.0 END, 6) AS score
 FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst""",
-)(lambda s, d: _rounded(triangles.chance_corrected_triangles(_thin(s, d)), "score"))
+)(lambda s, d: _rounded(triangles.chance_corrected_triangles(_whole(s, d)), "score"))
 _query(
     "geometric_mean_score",
-    f"WITH {_THIN} SELECT src, dst, round(w / sqrt(x.wd * y.wd), 6) AS score FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.geometric_mean_score(g := _thin(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
+    f"WITH {_ALL} SELECT src, dst, round(w / sqrt(x.wd * y.wd), 6) AS score FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst",
+)(lambda s, d: _rounded(triangles.geometric_mean_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
 _query(
     "multiscale_score",
-    f"""WITH {_THIN} SELECT src, dst, round(greatest(1 - pow(1 - w / x.wd, x.degree - 1), 1 - pow(1 - w / y.wd, y.degree - 1)), 6) AS score
+    f"""WITH {_ALL} SELECT src, dst, round(greatest(1 - pow(1 - w / x.wd, x.degree - 1), 1 - pow(1 - w / y.wd, y.degree - 1)), 6) AS score
 FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst""",
-)(lambda s, d: _rounded(triangles.multiscale_score(g := _thin(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
+)(lambda s, d: _rounded(triangles.multiscale_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
 _LOCAL = """r AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, rank() OVER (PARTITION BY src ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY src) AS k FROM o)
 SELECT s AS src, t AS dst, round(max(CASE WHEN k > 1 THEN 1 - ln(r) / ln(k) ELSE 1.0 END), 6) AS score FROM r GROUP BY 1, 2"""
-_query("local_degree_score", f"WITH {_THIN}, o AS (SELECT src, dst, degree AS score FROM a JOIN d ON id = dst), {_LOCAL}")(
-    lambda s, d: _rounded(triangles.local_degree_score(_thin(s, d)), "score")
+_query("local_degree_score", f"WITH {_ALL}, o AS (SELECT src, dst, degree AS score FROM a JOIN d ON id = dst), {_LOCAL}")(
+    lambda s, d: _rounded(triangles.local_degree_score(_whole(s, d)), "score")
 )
-_query("local_filter_score", f"WITH {_THIN}, o AS (SELECT src, dst, w AS score FROM a), {_LOCAL}")(
-    lambda s, d: _rounded(triangles.local_filter_score(g := _thin(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score")
+_query("local_filter_score", f"WITH {_ALL}, o AS (SELECT src, dst, w AS score FROM a), {_LOCAL}")(
+    lambda s, d: _rounded(triangles.local_filter_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score")
 )
 _query(
     "simmelian_overlap",
-    f"""WITH {_THIN}, {_TRIANGLES}, ta AS (SELECT src, dst, t FROM ts UNION ALL SELECT dst, src, t FROM ts),
+    f"""WITH {_ALL}, {_TRIANGLES}, ta AS (SELECT src, dst, t FROM ts UNION ALL SELECT dst, src, t FROM ts),
 r AS (SELECT src, dst FROM ta QUALIFY rank() OVER (PARTITION BY src ORDER BY t DESC) <= 10)
 SELECT e.src, e.dst, count(y.src) AS score FROM e LEFT JOIN r x ON x.src = e.src AND x.dst <> e.dst LEFT JOIN r y ON y.src = e.dst AND y.dst = x.dst GROUP BY 1, 2""",
-)(lambda s, d: triangles.simmelian_overlap_score(g := _thin(s, d), triangles.triangle_edge_score(g)))
-_query("normalized_scores", f"WITH {_THIN} SELECT src, dst, round((w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()), 6) AS score FROM e")(
-    lambda s, d: _rounded(triangles.normalized_scores(_thin(s, d).edges.select("src", "dst", F.col("w").alias("score"))), "score")
+)(lambda s, d: triangles.simmelian_overlap_score(g := _whole(s, d), triangles.triangle_edge_score(g)))
+_query("normalized_scores", f"WITH {_ALL} SELECT src, dst, round((w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()), 6) AS score FROM e")(
+    lambda s, d: _rounded(triangles.normalized_scores(_whole(s, d).edges.select("src", "dst", F.col("w").alias("score"))), "score")
 )
 _query(
     "sparsify_scan",
-    f"""WITH {_THIN}, {_TRIANGLES}, s AS (SELECT src, dst, w, (t + 1) / sqrt((x.degree + 1) * (y.degree + 1)) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst)
+    f"""WITH {_ALL}, {_TRIANGLES}, s AS (SELECT src, dst, w, (t + 1) / sqrt((x.degree + 1) * (y.degree + 1)) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst)
 SELECT src, dst, w FROM s WHERE score >= 0.4""",
-)(lambda s, d: triangles.threshold_filter(g := _thin(s, d), triangles.scan_score(g), 0.4).edges)
-_query("sparsify_local_degree", None)(lambda s, d: triangles.sparsified(g := _thin(s, d), triangles.local_degree_score(g), 0.3).edges)
-_query("prefix_jaccard", None)(lambda s, d: triangles.prefix_jaccard_score(g := _thin(s, d), triangles.triangle_edge_score(g)))
+)(lambda s, d: triangles.threshold_filter(g := _whole(s, d), triangles.scan_score(g), 0.4).edges)
+_query("sparsify_local_degree", None)(lambda s, d: triangles.sparsified(g := _whole(s, d), triangles.local_degree_score(g), 0.3).edges)
+_query("prefix_jaccard", None)(lambda s, d: triangles.prefix_jaccard_score(g := _whole(s, d), triangles.triangle_edge_score(g)))
 
 # -- link prediction --------------------------------------------------------------------------------------------------
 
 _MISSING = "n AS MATERIALIZED (SELECT DISTINCT x.dst AS u, y.dst AS v FROM a x JOIN a y ON x.src = y.src AND x.dst < y.dst ANTI JOIN a z ON z.src = x.dst AND z.dst = y.dst)"
-_query("missing_links", f"WITH {_THIN}, {_MISSING} SELECT u, v FROM n")(lambda s, d: links.missing_links(_thin(s, d)))
+_query("missing_links", f"WITH {_ALL}, {_MISSING} SELECT u, v FROM n")(lambda s, d: links.missing_links(_whole(s, d)))
 _query(
     "pair_features",
-    f"""WITH {_THIN}, {_MISSING}, c AS (SELECT u, v, count(*) AS c, sum(1 / ln(d.degree)) AS aa, sum(1.0 / d.degree) AS ra FROM n JOIN a x ON x.src = u JOIN a y ON y.src = v AND y.dst = x.dst JOIN d ON d.id = x.dst GROUP BY 1, 2)
-SELECT u, v, c AS common_neighbors, p.degree + q.degree - c AS total_neighbors, round(1.0 * c / (p.degree + q.degree - c), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation,
-p.degree * q.degree AS preferential_attachment, round(c / sqrt(p.degree * q.degree), 6) AS neighborhood_distance, p.degree AS u_degree, q.degree AS v_degree
+    f"""WITH {_ALL}, c AS (SELECT e.src AS u, e.dst AS v, count(y.src) AS c, coalesce(sum(1 / ln(d.degree)) FILTER (y.src IS NOT NULL), 0) AS aa, coalesce(sum(1.0 / d.degree) FILTER (y.src IS NOT NULL), 0) AS ra
+FROM e JOIN a x ON x.src = e.src LEFT JOIN a y ON y.src = e.dst AND y.dst = x.dst LEFT JOIN d ON d.id = x.dst GROUP BY 1, 2)
+SELECT u, v, c AS common_neighbors, p.degree + q.degree - c AS total_neighbors, round(1.0 * c / (p.degree + q.degree - c), 9) AS jaccard, round(aa, 9) AS adamic_adar, round(ra, 9) AS resource_allocation,
+p.degree * q.degree AS preferential_attachment, round(c / sqrt(p.degree * q.degree), 9) AS neighborhood_distance, p.degree AS u_degree, q.degree AS v_degree
 FROM c JOIN d p ON p.id = u JOIN d q ON q.id = v""",
-)(lambda s, d: _rounded(links.pair_features(g := _thin(s, d), links.missing_links(g)), "jaccard", "adamic_adar", "resource_allocation", "neighborhood_distance"))
+)(
+    lambda s, d: _rounded(
+        links.pair_features(g := _whole(s, d), g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "jaccard", "adamic_adar", "resource_allocation", "neighborhood_distance", digits=9
+    )
+)
 _AUC_PAIRS = "p AS (SELECT src AS u, dst AS v, 1 AS label FROM e UNION ALL SELECT u, v, 0 FROM n)"
 _SCORED = f"{_MISSING}, {_AUC_PAIRS}, sc AS (SELECT x.degree * y.degree AS score, label FROM p JOIN d x ON x.id = u JOIN d y ON y.id = v)"
 
 
 def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _thin(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     pairs = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).alias("label")).unionByName(links.missing_links(g).withColumn("label", F.lit(0)))
     return links.pair_features(g, pairs).select("u", "v", F.col("preferential_attachment").alias("score")).join(pairs, ["u", "v"]).select("score", "label")
 
 
 _CURVE = "g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY 1), k AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(pos) FROM g) AS p, (SELECT sum(neg) FROM g) AS n FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
-_query("roc_curve", f"WITH {_THIN}, {_SCORED}, {_CURVE} SELECT score, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM k")(
+_query("roc_curve", f"WITH {_ALL}, {_SCORED}, {_CURVE} SELECT score, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM k")(
     lambda s, d: _rounded(links.roc_curve(_scored_pairs(s, d)), "fpr", "tpr")
 )
-_query("precision_recall_curve", f"WITH {_THIN}, {_SCORED}, {_CURVE} SELECT score, round(tp / p, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM k")(
+_query("precision_recall_curve", f"WITH {_ALL}, {_SCORED}, {_CURVE} SELECT score, round(tp / p, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM k")(
     lambda s, d: _rounded(links.precision_recall_curve(_scored_pairs(s, d)), "recall", "precision")
 )
 _query(
     "auc",
-    f"WITH {_THIN}, {_SCORED}, {_CURVE}, x AS (SELECT fp / n AS f, tp / p AS t, coalesce(lag(fp / n) OVER w, 0) AS f0, coalesce(lag(tp / p) OVER w, 0) AS t0 FROM k WINDOW w AS (ORDER BY score DESC)) SELECT round(sum((f - f0) * (t + t0) / 2), 6) AS auc FROM x",
+    f"WITH {_ALL}, {_SCORED}, {_CURVE}, x AS (SELECT fp / n AS f, tp / p AS t, coalesce(lag(fp / n) OVER w, 0) AS f0, coalesce(lag(tp / p) OVER w, 0) AS t0 FROM k WINDOW w AS (ORDER BY score DESC)) SELECT round(sum((f - f0) * (t + t0) / 2), 6) AS auc FROM x",
 )(lambda s, d: _rounded(links.area_under_roc(_scored_pairs(s, d)), "auc"))
 
 # -- communities ------------------------------------------------------------------------------------------------------
@@ -272,40 +277,40 @@ _LE = f"{_BRAND}, le AS MATERIALIZED (SELECT src, dst, w, x.label AS a1, y.label
 _LT = f"""{_LE}, lt AS MATERIALIZED (SELECT z.label, z.size, coalesce(i.w, 0.0) AS inner_w, coalesce(i.n, 0) AS inner_n, coalesce(c.w, 0.0) AS cut, 2 * coalesce(i.w, 0.0) + coalesce(c.w, 0.0) AS vol
 FROM (SELECT label, count(*) AS size FROM b GROUP BY 1) z LEFT JOIN (SELECT a1 AS label, sum(w) AS w, count(*) AS n FROM le WHERE a1 = b1 GROUP BY 1) i USING (label)
 LEFT JOIN (SELECT label, sum(w) AS w FROM (SELECT a1 AS label, w FROM le WHERE a1 <> b1 UNION ALL SELECT b1, w FROM le WHERE a1 <> b1) GROUP BY 1) c USING (label))"""
-_query("coverage", f"WITH {_THIN}, {_LE} SELECT round(coalesce(sum(w) FILTER (a1 = b1), 0) / sum(w), 6) AS coverage FROM le")(
-    lambda s, d: _rounded(communities.coverage(_thin(s, d), _labels(s, d)), "coverage")
+_query("coverage", f"WITH {_ALL}, {_LE} SELECT round(coalesce(sum(w) FILTER (a1 = b1), 0) / sum(w), 6) AS coverage FROM le")(
+    lambda s, d: _rounded(communities.coverage(_whole(s, d), _labels(s, d)), "coverage")
 )
-_query("modularity", f"WITH {_THIN}, {_LT} SELECT round(sum(inner_w) / (sum(vol) / 2) - sum(vol * vol) / (sum(vol) * sum(vol)), 6) AS modularity FROM lt")(
-    lambda s, d: _rounded(communities.modularity(_thin(s, d), _labels(s, d)), "modularity")
+_query("modularity", f"WITH {_ALL}, {_LT} SELECT round(sum(inner_w) / (sum(vol) / 2) - sum(vol * vol) / (sum(vol) * sum(vol)), 6) AS modularity FROM lt")(
+    lambda s, d: _rounded(communities.modularity(_whole(s, d), _labels(s, d)), "modularity")
 )
-_query("edge_cut", f"WITH {_THIN}, {_LE} SELECT sum(w) FILTER (a1 <> b1) AS edge_cut FROM le")(lambda s, d: communities.edge_cut(_thin(s, d), _labels(s, d)))
-_query("conductances", f"WITH {_THIN}, {_LT}, x AS (SELECT *, sum(vol) OVER () AS s FROM lt) SELECT label, round(CASE WHEN least(vol, s - vol) > 0 THEN cut / least(vol, s - vol) ELSE 1.0 END, 6) AS score FROM x")(
-    lambda s, d: _rounded(communities.conductances(_thin(s, d), _labels(s, d)), "score")
+_query("edge_cut", f"WITH {_ALL}, {_LE} SELECT sum(w) FILTER (a1 <> b1) AS edge_cut FROM le")(lambda s, d: communities.edge_cut(_whole(s, d), _labels(s, d)))
+_query("conductances", f"WITH {_ALL}, {_LT}, x AS (SELECT *, sum(vol) OVER () AS s FROM lt) SELECT label, round(CASE WHEN least(vol, s - vol) > 0 THEN cut / least(vol, s - vol) ELSE 1.0 END, 6) AS score FROM x")(
+    lambda s, d: _rounded(communities.conductances(_whole(s, d), _labels(s, d)), "score")
 )
-_query("expansions", f"WITH {_THIN}, {_LT}, x AS (SELECT *, sum(size) OVER () AS s FROM lt) SELECT label, round(cut / least(size, s - size), 6) AS score FROM x")(
-    lambda s, d: _rounded(communities.expansions(_thin(s, d), _labels(s, d)), "score")
+_query("expansions", f"WITH {_ALL}, {_LT}, x AS (SELECT *, sum(size) OVER () AS s FROM lt) SELECT label, round(cut / least(size, s - size), 6) AS score FROM x")(
+    lambda s, d: _rounded(communities.expansions(_whole(s, d), _labels(s, d)), "score")
 )
-_query("intra_density", f"WITH {_THIN}, {_LT} SELECT label, round(CASE WHEN size > 1 THEN inner_n / (size * (size - 1) / 2.0) ELSE 1.0 END, 6) AS score FROM lt")(
-    lambda s, d: _rounded(communities.intra_density(_thin(s, d), _labels(s, d)), "score")
+_query("intra_density", f"WITH {_ALL}, {_LT} SELECT label, round(CASE WHEN size > 1 THEN inner_n / (size * (size - 1) / 2.0) ELSE 1.0 END, 6) AS score FROM lt")(
+    lambda s, d: _rounded(communities.intra_density(_whole(s, d), _labels(s, d)), "score")
 )
 _query(
     "hub_dominance",
-    f"""WITH {_THIN}, {_LE}, z AS (SELECT label, count(*) AS size FROM b GROUP BY 1), i AS (SELECT a1 AS label, src AS id FROM le WHERE a1 = b1 UNION ALL SELECT a1, dst FROM le WHERE a1 = b1),
+    f"""WITH {_ALL}, {_LE}, z AS (SELECT label, count(*) AS size FROM b GROUP BY 1), i AS (SELECT a1 AS label, src AS id FROM le WHERE a1 = b1 UNION ALL SELECT a1, dst FROM le WHERE a1 = b1),
 m AS (SELECT label, max(n) AS n FROM (SELECT label, id, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1)
 SELECT z.label, round(CASE WHEN size > 1 THEN coalesce(n, 0) / (size - 1.0) ELSE 1.0 END, 6) AS score FROM z LEFT JOIN m USING (label)""",
-)(lambda s, d: _rounded(communities.hub_dominance(_thin(s, d), _labels(s, d)), "score"))
+)(lambda s, d: _rounded(communities.hub_dominance(_whole(s, d), _labels(s, d)), "score"))
 _query(
     "stable_nodes",
-    f"""WITH {_THIN}, {_BRAND}, w AS (SELECT src AS id, y.label AS tl, sum(w) AS w FROM a JOIN b y ON y.id = dst GROUP BY 1, 2),
+    f"""WITH {_ALL}, {_BRAND}, w AS (SELECT src AS id, y.label AS tl, sum(w) AS w FROM a JOIN b y ON y.id = dst GROUP BY 1, 2),
 s AS (SELECT id, coalesce(max(w) FILTER (tl = label), 0) AS own, coalesce(max(w) FILTER (tl <> label), 0) AS other FROM w JOIN b USING (id) GROUP BY 1)
 SELECT b.id, CASE WHEN s.id IS NULL OR own > other THEN 1 ELSE 0 END AS stable FROM b LEFT JOIN s USING (id)""",
-)(lambda s, d: communities.stable_nodes(_thin(s, d), _labels(s, d)))
+)(lambda s, d: communities.stable_nodes(_whole(s, d), _labels(s, d)))
 _query(
     "local_coverage",
-    f"WITH {_THIN}, {_BRAND}, s AS (SELECT src, coalesce(sum(w) FILTER (x.label = y.label), 0) / sum(w) AS score FROM a JOIN b x ON x.id = src JOIN b y ON y.id = dst GROUP BY 1) SELECT id, round(score, 6) AS score FROM v LEFT JOIN s ON src = id",
-)(lambda s, d: _rounded(communities.local_coverage(_thin(s, d), _labels(s, d)), "score"))
-_query("coarsened", f"WITH {_THIN}, {_LE} SELECT least(a1, b1) AS src, greatest(a1, b1) AS dst, sum(w) AS w FROM le GROUP BY 1, 2")(
-    lambda s, d: communities.coarsened(_thin(s, d), _labels(s, d)).edges
+    f"WITH {_ALL}, {_BRAND}, s AS (SELECT src, coalesce(sum(w) FILTER (x.label = y.label), 0) / sum(w) AS score FROM a JOIN b x ON x.id = src JOIN b y ON y.id = dst GROUP BY 1) SELECT id, round(score, 6) AS score FROM v LEFT JOIN s ON src = id",
+)(lambda s, d: _rounded(communities.local_coverage(_whole(s, d), _labels(s, d)), "score"))
+_query("coarsened", f"WITH {_ALL}, {_LE} SELECT least(a1, b1) AS src, greatest(a1, b1) AS dst, sum(w) AS w FROM le GROUP BY 1, 2")(
+    lambda s, d: communities.coarsened(_whole(s, d), _labels(s, d)).edges
 )
 _query("partition_intersection", f"WITH {_BRAND} SELECT b.id, min(b.id) OVER (PARTITION BY b.label, t.label) AS label FROM b JOIN t USING (id)")(
     lambda s, d: communities.intersection(_labels(s, d), _labels(s, d, "p_type"))
@@ -330,8 +335,8 @@ SELECT round(1 - 2 * mi / (hx + hy), 6) AS distance FROM h""",
 )(lambda s, d: _rounded(communities.nmi_distance(_labels(s, d), _labels(s, d, "p_type")), "distance"))
 _query(
     "graph_rand",
-    f"WITH {_THIN}, {_BRAND} SELECT round(avg(CASE WHEN (x.label = y.label) <> (p.label = q.label) THEN 1.0 ELSE 0.0 END), 6) AS distance FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst JOIN t p ON p.id = src JOIN t q ON q.id = dst",
-)(lambda s, d: _rounded(communities.graph_rand_dissimilarity(_thin(s, d), _labels(s, d), _labels(s, d, "p_type")), "distance"))
+    f"WITH {_ALL}, {_BRAND} SELECT round(avg(CASE WHEN (x.label = y.label) <> (p.label = q.label) THEN 1.0 ELSE 0.0 END), 6) AS distance FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst JOIN t p ON p.id = src JOIN t q ON q.id = dst",
+)(lambda s, d: _rounded(communities.graph_rand_dissimilarity(_whole(s, d), _labels(s, d), _labels(s, d, "p_type")), "distance"))
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -341,34 +346,52 @@ def _lpa_sql(rounds: int) -> str:
             f"m{i} AS (SELECT id, label FROM (SELECT src AS id, label, sum(w) AS w FROM a JOIN l{i} ON l{i}.id = dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1), "
             f"l{i + 1} AS MATERIALIZED (SELECT l{i}.id, coalesce(m{i}.label, l{i}.label) AS label FROM l{i} LEFT JOIN m{i} USING (id))"
         )
-    return f"WITH {_THIN}, {', '.join(parts)} SELECT id, label FROM l{rounds}"
+    return f"WITH {_ALL}, {', '.join(parts)} SELECT id, label FROM l{rounds}"
 
 
-_query("label_propagation_3", _lpa_sql(3))(lambda s, d: communities.label_propagation(_thin(s, d), 3))
-_query("louvain", None)(lambda s, d: communities.louvain(_thin(s, d)))
+_query("label_propagation_3", _lpa_sql(3))(lambda s, d: communities.label_propagation(_whole(s, d), 3))
+_query("louvain", None)(lambda s, d: communities.louvain(_whole(s, d)))
 
 # -- traversal --------------------------------------------------------------------------------------------------------
 
 _query(
     "bfs",
-    f"WITH RECURSIVE {_THIN}, r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 20) SELECT v.id, min(n) AS distance FROM v LEFT JOIN r ON r.id = v.id GROUP BY 1",
-)(lambda s, d: traversal.bfs(_thin(s, d), 1))
+    f"WITH RECURSIVE {_ALL}, r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 20) SELECT v.id, min(n) AS distance FROM v LEFT JOIN r ON r.id = v.id GROUP BY 1",
+)(lambda s, d: traversal.bfs(_whole(s, d), 1))
 
 
 def _sssp_sql(rounds: int) -> str:
     parts = ["r0 AS (SELECT CAST(1 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS x)"]
     for i in range(rounds):
         parts.append(f"r{i + 1} AS MATERIALIZED (SELECT id, min(x) AS x FROM (SELECT id, x FROM r{i} UNION ALL SELECT dst, x + w FROM r{i} JOIN a ON src = id) GROUP BY 1)")
-    return f"WITH {_THIN}, {', '.join(parts)} SELECT v.id, x AS distance FROM v LEFT JOIN r{rounds} ON r{rounds}.id = v.id"
+    return f"WITH {_ALL}, {', '.join(parts)} SELECT v.id, x AS distance FROM v LEFT JOIN r{rounds} ON r{rounds}.id = v.id"
 
 
-_query("dijkstra", _sssp_sql(24))(lambda s, d: traversal.dijkstra(_thin(s, d), 1))
-_COMPONENTS = "r AS (SELECT id, id AS c FROM v UNION SELECT dst, c FROM r JOIN a ON src = r.id WHERE c < dst)"
-_query("connected_components", f"WITH RECURSIVE {_part(3)}, {_COMPONENTS} SELECT id, min(c) AS component FROM r GROUP BY 1")(
-    lambda s, d: traversal.components(G.part_graph(s, d, 3))
+_query("distance_between", f"SELECT CAST(1 AS BIGINT) AS source, CAST(42 AS BIGINT) AS target, (SELECT distance FROM ({_sssp_sql(24)}) WHERE id = 42) AS distance")(
+    lambda s, d: distances.distance_between(_whole(s, d), 1, 42)
 )
-_query("component_sizes", f"WITH RECURSIVE {_part(3)}, {_COMPONENTS}, m AS (SELECT id, min(c) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM m GROUP BY 1")(
-    lambda s, d: traversal.component_sizes(traversal.components(G.part_graph(s, d, 3)))
+_query(
+    "steps_between",
+    f"WITH RECURSIVE {_ALL}, r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 20) SELECT CAST(1 AS BIGINT) AS source, CAST(42 AS BIGINT) AS target, (SELECT min(n) FROM r WHERE id = 42) AS distance",
+)(lambda s, d: distances.steps_between(_whole(s, d), 1, 42))
+_query("nearest_100", f"SELECT id, distance FROM ({_sssp_sql(24)}) WHERE distance IS NOT NULL ORDER BY distance, id LIMIT 100")(lambda s, d: distances.nearest(_whole(s, d), 1, 100))
+_query(
+    "all_pairs_distances",
+    f"WITH RECURSIVE {_NATION}, k0 AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM a UNION ALL SELECT id, id, 0.0 FROM v) GROUP BY 1, 2), "
+    + ", ".join(f"k{i + 1} AS MATERIALIZED (SELECT x.src, y.dst, min(x.w + y.w) AS w FROM k{i} x JOIN k{i} y ON x.dst = y.src GROUP BY 1, 2)" for i in range(5))
+    + " SELECT src, dst, w AS distance FROM k5",
+)(lambda s, d: distances.all_pairs(G.nation_graph(s, d)))
+_query("dijkstra", _sssp_sql(24))(lambda s, d: traversal.dijkstra(_whole(s, d), 1))
+def _components_sql(rounds: int) -> str:
+    parts = ["c0 AS (SELECT id, id AS c FROM v)"]
+    for i in range(rounds):
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT id, min(c) AS c FROM (SELECT id, c FROM c{i} UNION ALL SELECT dst, c FROM a JOIN c{i} ON src = id) GROUP BY 1)")
+    return ", ".join(parts)
+
+
+_query("connected_components", f"WITH {_ALL}, {_components_sql(16)} SELECT id, c AS component FROM c16")(lambda s, d: traversal.components(_whole(s, d)))
+_query("component_sizes", f"WITH {_ALL}, {_components_sql(16)} SELECT c AS component, count(*) AS size FROM c16 GROUP BY 1")(
+    lambda s, d: traversal.component_sizes(traversal.components(_whole(s, d)))
 )
 _HEAVY = f"{_NATION}, h AS (SELECT src, dst, w FROM e WHERE w > (SELECT avg(w) FROM e)), q AS (SELECT src AS i, dst AS j FROM h UNION SELECT q.i, h.dst FROM q JOIN h ON h.src = q.j)"
 
@@ -388,29 +411,35 @@ _query(
     "reachable_counts",
     f"WITH RECURSIVE {_HEAVY}, p AS (SELECT i, j FROM q UNION SELECT id, id FROM v) SELECT i AS id, count(*) AS reachable FROM p GROUP BY 1",
 )(lambda s, d: traversal.reachable_counts(_heavy(s, d)))
-_query(
-    "hop_plot",
-    f"""WITH RECURSIVE {_part(3)}, r AS (SELECT id AS s, id, 0 AS n FROM v WHERE id % 20 = 0 UNION SELECT s, dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 4),
-m AS (SELECT s, id, min(n) AS n FROM r GROUP BY 1, 2), c AS (SELECT n, count(*) AS k FROM m WHERE n > 0 GROUP BY 1) SELECT n AS distance, sum(k) OVER (ORDER BY n) AS pairs FROM c""",
-)(lambda s, d: traversal.hop_plot(g := G.part_graph(s, d, 3), g.vertices.where("id % 20 = 0"), 4))
-_query("core_numbers", None)(lambda s, d: traversal.core_numbers(_thin(s, d)))
-_query("spanning_forest", None)(lambda s, d: traversal.minimum_spanning_forest(G.part_graph(s, d, 3)))
-_query("independent_set", None)(lambda s, d: traversal.independent_set(_thin(s, d)))
-_query("heavy_matching", None)(lambda s, d: traversal.heavy_matching(_thin(s, d)))
+#: Distances up to 4 between all pairs: few are beyond 2 steps, so only these are looked up one by one.
+_DIST = """n2 AS MATERIALIZED (SELECT DISTINCT x.src AS s, y.dst AS t FROM a x JOIN a y ON x.dst = y.src WHERE x.src <> y.dst),
+q2 AS MATERIALIZED (SELECT s, t FROM n2 UNION SELECT src, dst FROM a), u2 AS MATERIALIZED (SELECT x.id AS s, y.id AS t FROM v x, v y WHERE x.id <> y.id EXCEPT SELECT s, t FROM q2),
+n3 AS MATERIALIZED (SELECT DISTINCT u2.s, u2.t FROM u2 JOIN a ON a.src = u2.s JOIN q2 ON q2.s = a.dst AND q2.t = u2.t), u3 AS (SELECT s, t FROM u2 EXCEPT SELECT s, t FROM n3),
+n4 AS (SELECT DISTINCT u3.s, u3.t FROM u3 JOIN a ON a.src = u3.s JOIN n3 ON n3.s = a.dst AND n3.t = u3.t),
+m AS MATERIALIZED (SELECT src AS s, dst AS id, 1 AS n FROM a UNION ALL SELECT s, t, 2 FROM (SELECT s, t FROM n2 EXCEPT SELECT src, dst FROM a) UNION ALL SELECT s, t, 3 FROM n3 UNION ALL SELECT s, t, 4 FROM n4)"""
+_query("hop_plot", f"WITH {_ALL}, {_DIST}, c AS (SELECT n, count(*) AS k FROM m GROUP BY 1) SELECT n AS distance, CAST(sum(k) OVER (ORDER BY n) AS BIGINT) AS pairs FROM c")(
+    lambda s, d: distances.hop_plot(_whole(s, d))
+)
+_query("diameter", f"WITH {_ALL}, {_DIST} SELECT coalesce(max(n), 0) AS diameter FROM m")(lambda s, d: distances.diameter(_whole(s, d)))
+_query(
+    "effective_diameter",
+    f"WITH {_ALL}, {_DIST}, k AS (SELECT s, n, count(*) AS k FROM m GROUP BY 1, 2), u AS (SELECT s, n, sum(k) OVER (PARTITION BY s ORDER BY n) + 1 AS k FROM k), h AS (SELECT s, min(n) AS h FROM u WHERE k >= (SELECT ceil(0.9 * count(*)) FROM v) GROUP BY 1) SELECT round(avg(h), 6) AS diameter FROM h",
+)(lambda s, d: _rounded(distances.effective_diameter(_whole(s, d)), "diameter"))
+_query("approximate_hop_plot", None)(lambda s, d: distances.approximate_hop_plot(_whole(s, d)))
+_query("approximate_effective_diameter", None)(lambda s, d: distances.approximate_effective_diameter(_whole(s, d)))
+_query("approximate_closeness", None)(lambda s, d: distances.approximate_closeness(_whole(s, d)))
+_query("algebraic_distances", None)(lambda s, d: distances.algebraic_distances(g := _whole(s, d), g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
+_query("core_numbers", None)(lambda s, d: traversal.core_numbers(_whole(s, d)))
+_query("spanning_forest", None)(lambda s, d: traversal.minimum_spanning_forest(G.part_graph(s, d)))
+_query("independent_set", None)(lambda s, d: traversal.independent_set(_whole(s, d)))
+_query("heavy_matching", None)(lambda s, d: traversal.heavy_matching(_whole(s, d)))
 _query("bipartite", "SELECT true AS bipartite")(lambda s, d: traversal.bipartition(G.supply_graph(s, d)))
 _query(
     "topological_levels",
-    "SELECT CAST(n_nationkey AS BIGINT) + 100 AS id, 0 AS level FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation) THEN 1 ELSE 0 END FROM region",
-)(
-    lambda s, d: traversal.topological_levels(
-        G.from_edges(
-            (n := s.read.parquet(f"{d}/nation.parquet")).select((F.col("n_nationkey") + 100).alias("src"), F.col("n_regionkey").alias("dst")),
-            True,
-            n.select((F.col("n_nationkey") + 100).cast("long").alias("id")).unionByName(s.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("id"))),
-        )
-    )
-)
-_query("shortest_paths", None)(lambda s, d: traversal.shortest_paths(G.part_graph(s, d, 3), 1))
+    """WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders), l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey IN (SELECT o FROM o))
+SELECT 4 * c AS id, 0 AS level FROM (SELECT DISTINCT c FROM o) UNION ALL SELECT 4 * o + 1, 1 FROM o UNION ALL SELECT 4 * s + 2, 2 FROM (SELECT DISTINCT s FROM l)""",
+)(lambda s, d: traversal.topological_levels(G.order_graph(s, d)))
+_query("shortest_paths", None)(lambda s, d: traversal.shortest_paths(G.part_graph(s, d), 1))
 _query("simple_paths", None)(lambda s, d: traversal.all_simple_paths(_heavy(s, d), 0, 1, 3))
 
 # -- centralities -----------------------------------------------------------------------------------------------------
@@ -441,25 +470,29 @@ def _power_sql(rounds: int, step: str, start: str, each: bool) -> str:
 
 _query("eigenvector_20", _power_sql(20, "{0}", "1.0 / (SELECT count(*) FROM v)", True))(lambda s, d: _rounded(centrality.eigenvector(G.nation_graph(s, d), 20), "score"))
 _query("katz_10", _power_sql(10, "0.1 + 0.000001 * {0}", "1.0", False))(lambda s, d: _rounded(centrality.katz(G.nation_graph(s, d), 1e-6, 0.1, 10), "score"))
-_CLOSE = "r AS (SELECT id AS s, id, 0 AS n FROM v WHERE id % 50 = 0 UNION SELECT s, dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 30), m AS (SELECT s, id, min(n) AS n FROM r GROUP BY 1, 2)"
 _query(
     "closeness",
-    f"""WITH RECURSIVE {_THIN}, {_CLOSE} SELECT s AS id, round(CASE WHEN sum(n) > 0 THEN (count(*) - 1.0) * (count(*) - 1) / (sum(n) * ((SELECT count(*) FROM v) - 1)) ELSE 0.0 END, 6) AS closeness,
-round(coalesce(sum(1.0 / n) FILTER (n > 0), 0) / ((SELECT count(*) FROM v) - 1), 6) AS harmonic FROM m GROUP BY 1""",
-)(lambda s, d: _rounded(centrality.closeness(g := _thin(s, d), g.vertices.where("id % 50 = 0")), "closeness", "harmonic"))
-_query("betweenness_sample", None)(lambda s, d: centrality.betweenness(g := G.part_graph(s, d, 3), g.vertices.where("id % 50 = 0")))
-_query("approximate_pagerank", None)(lambda s, d: centrality.approximate_pagerank(g := _thin(s, d), g.vertices.where("id = 1")))
+    f"""WITH {_ALL}, {_DIST}, c AS (SELECT s, sum(n) AS d, count(*) AS r, sum(1.0 / n) AS h FROM m GROUP BY 1)
+SELECT id, round(CASE WHEN d > 0 THEN 1.0 * r * r / (d * ((SELECT count(*) FROM v) - 1)) ELSE 0.0 END, 6) AS closeness, round(coalesce(h, 0) / ((SELECT count(*) FROM v) - 1), 6) AS harmonic FROM v LEFT JOIN c ON s = id""",
+)(lambda s, d: _rounded(centrality.closeness(_whole(s, d)), "closeness", "harmonic"))
+_query(
+    "top_harmonic_closeness",
+    f"WITH {_ALL}, {_DIST} SELECT s AS id, round(sum(1.0 / n) / ((SELECT count(*) FROM v) - 1), 6) AS score FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+)(lambda s, d: _rounded(distances.top_harmonic_closeness(_whole(s, d), 20), "score"))
+_query("betweenness", None)(lambda s, d: centrality.betweenness(_heavy(s, d)))
+_query("estimated_betweenness", None)(lambda s, d: centrality.estimated_betweenness(_whole(s, d), 16))
+_query("approximate_pagerank", None)(lambda s, d: centrality.approximate_pagerank(g := _whole(s, d), g.vertices.where("id = 1")))
 
 # -- more of the whole graph, ranks and parts --------------------------------------------------------------------------
 
-_query("merge", f"WITH {_part(2)} SELECT src, dst, CASE WHEN w >= 3 THEN 1.0 ELSE w END AS w FROM e")(
-    lambda s, d: tools.merge(tools.to_unweighted(G.part_graph(s, d, 3)), G.part_graph(s, d, 2)).edges.select("src", "dst", "w")
+_query("merge", f"WITH {_ALL} SELECT src, dst, CASE WHEN w >= 2 THEN 1.0 ELSE w END AS w FROM e")(
+    lambda s, d: tools.merge(tools.to_unweighted(G.part_graph(s, d, 2)), G.part_graph(s, d)).edges.select("src", "dst", "w")
 )
 _query("augmented", f"WITH {_NATION} SELECT src, dst, w FROM e UNION ALL SELECT -1, id, 1.0 FROM v")(
     lambda s, d: tools.augmented(G.nation_graph(s, d)).edges.select("src", "dst", "w")
 )
-_query("eccentricity", f"WITH RECURSIVE {_THIN}, {_CLOSE} SELECT s AS id, id AS farthest, n AS distance FROM m QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, id) = 1")(
-    lambda s, d: traversal.eccentricity(g := _thin(s, d), g.vertices.where("id % 50 = 0"))
+_query("eccentricity", f"WITH {_ALL}, {_DIST} SELECT v.id, coalesce(m.id, v.id) AS farthest, coalesce(n, 0) AS distance FROM v LEFT JOIN m ON s = v.id QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY n DESC, m.id) = 1")(
+    lambda s, d: distances.eccentricity(_whole(s, d))
 )
 _query("contingency", f"WITH {_BRAND} SELECT b.label AS a, t.label AS b, count(*) AS n FROM b JOIN t USING (id) GROUP BY 1, 2")(
     lambda s, d: communities.contingency(_labels(s, d), _labels(s, d, "p_type"))
@@ -469,9 +502,9 @@ _query("partition_sizes", f"WITH {_BRAND}, c AS (SELECT count(*) AS size FROM b
 )
 _query(
     "set_conductance",
-    f"""WITH {_THIN}, t AS (SELECT sum(wd) FILTER (id % 10 = 0) AS own, sum(wd) FILTER (id % 10 <> 0) AS rest FROM d), c AS (SELECT sum(w) AS cut FROM a WHERE src % 10 = 0 AND dst % 10 <> 0)
+    f"""WITH {_ALL}, t AS (SELECT sum(wd) FILTER (id % 10 = 0) AS own, sum(wd) FILTER (id % 10 <> 0) AS rest FROM d), c AS (SELECT sum(w) AS cut FROM a WHERE src % 10 = 0 AND dst % 10 <> 0)
 SELECT round(cut / least(own, rest), 6) AS conductance FROM t, c""",
-)(lambda s, d: _rounded(communities.set_conductance(g := _thin(s, d), g.vertices.where("id % 10 = 0")), "conductance"))
+)(lambda s, d: _rounded(communities.set_conductance(g := _whole(s, d), g.vertices.where("id % 10 = 0")), "conductance"))
 _query(
     "degree_correlation",
     f"""WITH {_ALL}, r AS (SELECT degree AS x, wd AS y, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS rx,
@@ -491,10 +524,10 @@ _query("degree_centralization", f"WITH {_ALL} SELECT round((count(*) * max(degre
 )
 _query(
     "clustering_per_degree",
-    f"WITH {_THIN}, {_TRIANGLES} SELECT degree, round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS score FROM tv JOIN d USING (id) GROUP BY 1",
-)(lambda s, d: _rounded(triangles.clustering_per_degree(_thin(s, d)), "score"))
-_query("same_community", f"WITH {_THIN}, {_BRAND} SELECT src AS u, dst AS v, CAST(x.label = y.label AS DOUBLE) AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
-    lambda s, d: links.same_community_index(_labels(s, d), _thin(s, d).edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT degree, round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS score FROM tv JOIN d USING (id) GROUP BY 1",
+)(lambda s, d: _rounded(triangles.clustering_per_degree(_whole(s, d)), "score"))
+_query("same_community", f"WITH {_ALL}, {_BRAND} SELECT src AS u, dst AS v, CAST(x.label = y.label AS DOUBLE) AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
+    lambda s, d: links.same_community_index(_labels(s, d), _whole(s, d).edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 )
 
 # -- algebra and embeddings -------------------------------------------------------------------------------------------

@@ -279,6 +279,15 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(c.unionByName(s), edges, False)
 
 
+def order_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """From customers to their orders, and from orders to the suppliers of their items: ids are 4 times the keys, plus 0, 1
+    and 2.  No path comes back to where it began."""
+    o = _read(spark, sf_dir, "orders").select((4 * F.col("o_custkey")).alias("src"), (4 * F.col("o_orderkey") + 1).alias("dst"))
+    line = _read(spark, sf_dir, "lineitem").select((4 * F.col("l_orderkey") + 1).alias("src"), (4 * F.col("l_suppkey") + 2).alias("dst")).join(o.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    edges = o.unionByName(line).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    return PropertyGraph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, True)
+
+
 def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Event types that follow each other for a user, weighted by how often; types are numbered by name."""
     e = _read(spark, sf_dir, "events")

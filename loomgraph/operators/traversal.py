@@ -32,6 +32,20 @@ def bfs_from(g: PropertyGraph, sources: DataFrame, reverse: bool = False, max_de
     return seen
 
 
+def multi_source_bfs(g: PropertyGraph, sources: DataFrame, reverse: bool = False) -> DataFrame:
+    """``(id, distance)`` of all that is reached, in steps from the nearest of the sources."""
+    one = PropertyGraph(g.vertices, g.edges.withColumn("w", F.lit(1.0)), g.directed)
+    arcs = materialize(_arcs(one, reverse).select("src", "dst").distinct(), "bfs-arcs")
+    seen = frontier = materialize(sources.select("id", F.lit(0).alias("distance")).distinct(), "bfs")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.select(F.col("id").alias("src")).join(arcs, "src").select(F.col("dst").alias("id")).distinct()
+        both = materialize(seen.join(step.withColumn("new", F.lit(True)), "id", "full").select("id", F.coalesce("distance", F.lit(depth)).alias("distance")), "bfs")
+        frontier, seen = both.where(F.col("distance") == depth), both
+    return seen
+
+
 def bfs(g: PropertyGraph, source: int, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
     """``(id, distance)`` for every node."""
     found = bfs_from(g, g.vertices.where(F.col("id") == source), reverse, max_depth)
@@ -94,34 +108,6 @@ def all_simple_paths(g: PropertyGraph, source: int, target: int, cutoff: int) ->
     return done
 
 
-def eccentricity(g: PropertyGraph, sources: DataFrame) -> DataFrame:
-    """``(id, farthest, distance)`` of each source; of several farthest nodes the smallest."""
-    far = bfs_from(g, sources).groupBy("source").agg(F.max(F.struct("distance", (-F.col("id")).alias("m"))).alias("x"))
-    return far.select(F.col("source").alias("id"), (-F.col("x.m")).alias("farthest"), F.col("x.distance").alias("distance"))
-
-
-def diameter(g: PropertyGraph) -> DataFrame:
-    """One row ``(diameter)``: the longest distance between nodes that reach each other, from all nodes: for graphs
-    whose pairs can be held."""
-    return bfs_from(g, g.vertices).agg(F.max("distance").alias("diameter"))
-
-
-def hop_plot(g: PropertyGraph, sources: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """``(distance, pairs)``: ordered pairs at most so many steps apart, running sums by distance."""
-    by = bfs_from(g, g.vertices if sources is None else sources, max_depth=max_depth).where("distance > 0").groupBy("distance").agg(F.count("*").alias("n"))
-    run = Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("distance", F.sum("n").over(run).alias("pairs"))
-
-
-def effective_diameter(g: PropertyGraph, ratio: float = 0.9) -> DataFrame:
-    """One row ``(diameter)``: the mean over nodes of the steps in which they reach this share of all nodes."""
-    d = bfs_from(g, g.vertices).groupBy("source", "distance").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("source").orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
-    n = g.vertices.agg(F.ceil(F.count("*") * ratio).alias("goal"))
-    first = d.withColumn("upto", F.sum("n").over(run)).join(F.broadcast(n)).where("upto >= goal").groupBy("source").agg(F.min("distance").alias("h"))
-    return first.agg(F.avg("h").alias("diameter"))
-
-
 def reachable_counts(g: PropertyGraph, sources: DataFrame | None = None) -> DataFrame:
     """``(id, reachable)``, the node itself included; for an undirected graph from the sizes of components."""
     if g.directed:
