@@ -45,7 +45,7 @@ class _WordHashes(dict):
     """Hashes of words without the punctuation around them; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.strip(_MARKS), 7)
         return h
@@ -58,7 +58,7 @@ class _StemHashes(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         bare = word.strip(_MARKS).decode("utf-8", "replace")
         found = (xxhash.xxh64_intdigest(bare[:k].encode(), 100 + k) for k in STEMS if k <= len(bare))
@@ -91,7 +91,7 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: f
     a feature without weight by less than 1 in each epoch: features of too few rows to pass the L1 term are left out unseen."""
     keys, counts = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_counts=True)
     keys = keys[counts * epochs > l1]
-    local = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
+    local = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]).astype(np.int32) for r in rows]
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     bias_z = bias_n = 0.0
 
@@ -114,6 +114,16 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: f
     return keys[kept], w[kept], -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
+def common_features(rows: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """The rows without most of the features that fewer than ``least`` of them have: counts of 2**24 slots, which are never
+    too small, tell what can go, so that what is left can be sorted in little memory.  The rows are taken from the list."""
+    slots, low = np.zeros(1 << 24, np.uint8), np.uint64((1 << 24) - 1)
+    for r in rows:
+        at = np.unique(r & low)
+        slots[at] += slots[at] < 255
+    return [(r := rows.pop())[slots[r & low] >= least] for _ in range(len(rows))][::-1]
+
+
 def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = 20_000) -> DataFrame:
     """``(doc_id, y)`` of at most max_rows labelled documents outside the held-out fold: those whose ids hash lowest.
     Of several labels of one document the largest counts; rows with a null id or label are no labels."""
@@ -152,7 +162,10 @@ def fit(
         hashes, stems = _WordHashes(), _StemHashes()
         pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "doc_id"])
         features = [np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes, stems)])) for t in pdf["text"]]
-        keys, w, bias = train_ftrl(features, pdf["y"].to_numpy(), alpha, beta, l1, l2, epochs)
+        y = pdf["y"].to_numpy()
+        del pdf, hashes, stems
+        features = common_features(features, int(l1 // epochs) + 1)
+        keys, w, bias = train_ftrl(features, y, alpha, beta, l1, l2, epochs)
         keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
         return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
 

@@ -369,6 +369,22 @@ def test_ftrl_equals_brute_force():
         assert dict(zip(keys.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(slow_bias)
 
 
+def test_common_features_loses_none_that_counts():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.zipf(1.3, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(300)]
+    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
+    kept = toxicity.common_features(list(rows), 3)
+    assert len(kept) == len(rows)
+    often = set(keys[counts >= 3].tolist())
+    for before, after in zip(rows, kept, strict=True):
+        assert often & set(before.tolist()) <= set(after.tolist()) <= set(before.tolist())
+    assert sum(map(len, kept)) < sum(map(len, rows))
+    for l1, epochs in ((8.0, 4), (16.0, 6)):
+        labels = np.array([float(i % 7 == 0) for i in range(300)])
+        a, b = (toxicity.train_ftrl(x, labels, 1.0, 1.0, l1, 0.0, epochs) for x in (rows, kept))
+        assert np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1]) and np.isclose(a[2], b[2])
+
+
 def test_trained_toxicity_on_awkward_rows(spark):
     """Nulls, empty and very long texts, repeated rows and ids, clashing columns; the model is a trained one."""
     rows = [(i, prose(i) + (" vile wretch" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
