@@ -11,7 +11,7 @@ which fit() checks.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,14 +114,14 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float, beta: f
     return keys[kept], w[kept], -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
-def common_features(rows: list[np.ndarray], least: int) -> list[np.ndarray]:
-    """The rows without most of the features that fewer than ``least`` of them have: counts of 2**24 slots, which are never
-    too small, tell what can go, so that what is left can be sorted in little memory.  The rows are taken from the list."""
+def common_features(texts: list, features: Callable[[object], np.ndarray], least: int) -> list[np.ndarray]:
+    """features(text) of each text, without most of those that fewer than ``least`` texts have: counts of 2**24 slots,
+    which are never too small, tell what can go.  Features are made twice, so that all of them are never held."""
     slots, low = np.zeros(1 << 24, np.uint8), np.uint64((1 << 24) - 1)
-    for r in rows:
-        at = np.unique(r & low)
+    for t in texts:
+        at = np.unique(features(t) & low)
         slots[at] += slots[at] < 255
-    return [(r := rows.pop())[slots[r & low] >= least] for _ in range(len(rows))][::-1]
+    return [(f := features(t))[slots[f & low] >= least] for t in texts]
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = 20_000) -> DataFrame:
@@ -143,7 +143,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 20_000,
-    shard_rows: int = 5_000,
+    shard_rows: int = 4_000,
     alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 8.0,
@@ -161,10 +161,10 @@ def fit(
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, stems = _WordHashes(), _StemHashes()
         pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "doc_id"])
-        features = [np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes, stems)])) for t in pdf["text"]]
-        y = pdf["y"].to_numpy()
-        del pdf, hashes, stems
-        features = common_features(features, int(l1 // epochs) + 1)
+        texts, y = pdf["text"].tolist(), pdf["y"].to_numpy()
+        del pdf
+        features = common_features(texts, lambda t: np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes, stems)])), int(l1 // epochs) + 1)
+        hashes.clear(), stems.clear(), texts.clear()
         keys, w, bias = train_ftrl(features, y, alpha, beta, l1, l2, epochs)
         keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
         return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
