@@ -260,7 +260,7 @@ def encode_documents(
         def text_of(key: bytes, data: bytes) -> bytes | None:
             if key in seen:
                 return None
-            if len(seen) >= 200_000:
+            if len(seen) >= 50_000:
                 seen.clear()
             seen.add(key)
             return data

@@ -49,7 +49,7 @@ class _WordHashes(dict):
     """Hashes of words; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 11)
         return h
@@ -107,8 +107,8 @@ def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for b in batches:
-            sets = [shingle_hashes(t.as_py(), shingle, hashes) for t in b.column("text")]
-            fps, keys = pa.array([wide_simhash(h) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
+            found = [(wide_simhash(h), band_keys(h)) for h in (shingle_hashes(t.as_py(), shingle, hashes) for t in b.column("text"))]
+            fps, keys = pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("place"), b.column("doc_id"), fps, keys], ["file", "place", "doc_id", "fp", "keys"])
 
     picked = docs.select(f"{ROW}.file", f"{ROW}.place", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -10,7 +10,6 @@ which fit() checks.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -45,25 +44,23 @@ class _WordHashes(dict):
     """Hashes of words without the punctuation around them; forgets all when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.strip(_MARKS), 7)
         return h
 
 
-class _StemHashes(dict):
-    """Hashes of the stems of words, as tuples; with ``known``, only those in it."""
-
-    def __init__(self, known: frozenset[int] | None = None) -> None:
-        self.known = known
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 50_000:
-            self.clear()
-        bare = word.strip(_MARKS).decode("utf-8", "replace")
-        found = (xxhash.xxh64_intdigest(bare[:k].encode(), 100 + k) for k in STEMS if k <= len(bare))
-        self[word] = out = tuple(h for h in found if self.known is None or h in self.known)
-        return out
+def stem_hashes(words: set[bytes]) -> np.ndarray:
+    """Hashes (FNV-1a over the letters) of the stems of words, repeats included."""
+    bare = b" ".join([w.strip(_MARKS) for w in words]).decode("utf-8", "replace").split(" ")
+    letters = np.array(bare, f"U{STEMS.stop - 1}").view(np.uint32).reshape(len(bare), -1)
+    h, out = np.full(len(bare), 0xCBF29CE484222325, np.uint64), [np.empty(0, np.uint64)]
+    for k in range(1, STEMS.stop):
+        c = letters[:, k - 1]
+        h = (h ^ c) * np.uint64(0x100000001B3)
+        if k >= STEMS.start:
+            out.append(h[c != 0])
+    return np.concatenate(out)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> np.ndarray:
@@ -71,13 +68,13 @@ def _mixed(a: np.ndarray, b: np.ndarray, kind: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def grams(text: str | None, hashes: dict[bytes, int], stems: dict[bytes, tuple[int, ...]]) -> Iterator[np.ndarray]:
+def grams(text: str | None, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
     """The features of a text, repeats included, in arrays for a block of words each."""
     tail = np.empty(0, np.uint64)
     for words in word_blocks((text or "").lower().encode("utf-8", "surrogatepass")):
         new = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
         yield new
-        yield np.fromiter(set(itertools.chain.from_iterable(map(stems.__getitem__, set(words)))), np.uint64)
+        yield stem_hashes(set(words))
         run = np.concatenate([tail, new])
         if len(run) > 1:
             yield _mixed(run[:-1], run[1:], _PAIR)
@@ -159,12 +156,12 @@ def fit(
     A model of more than max_weights weights isn't broadcast: fit() raises an error that names l1, the term to raise."""
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, stems = _WordHashes(), _StemHashes()
+        hashes = _WordHashes()
         pdf = pdf.assign(order=[xxhash.xxh64_intdigest(str(i)) for i in pdf["doc_id"]]).sort_values(["order", "doc_id"])
         texts, y = pdf["text"].tolist(), pdf["y"].to_numpy()
         del pdf
-        features = common_features(texts, lambda t: np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes, stems)])), int(l1 // epochs) + 1)
-        hashes.clear(), stems.clear(), texts.clear()
+        features = common_features(texts, lambda t: np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes)])), int(l1 // epochs) + 1)
+        hashes.clear(), texts.clear()
         keys, w, bias = train_ftrl(features, y, alpha, beta, l1, l2, epochs)
         keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
         return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
@@ -196,12 +193,11 @@ def _score_of(spark: SparkSession, weights: Weights):
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, m = _WordHashes(), model.value
-        stems = _StemHashes(frozenset(m.features.tolist()))
         sieve = np.zeros(1 << 20, bool)
         sieve[m.features & low] = True
 
         def logit(text: str | None) -> float:
-            g = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[sieve[x & low]] for x in grams(text, hashes, stems))]))
+            g = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[sieve[x & low]] for x in grams(text, hashes))]))
             if not len(g):
                 return m.intercept
             at = np.minimum(np.searchsorted(m.features, g), len(m.features) - 1)
