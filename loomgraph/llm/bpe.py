@@ -325,16 +325,20 @@ def encode_documents(
     given = refs.select("row", "at", "doc_id", "key").join(dictionary, "key").select("row", "at", "doc_id", "ids")
     own = found.where("at is not null and key is null").select("row", "at", "doc_id", "ids")
     whole = given.unionByName(own).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("at", "ids")).alias("parts"))
-    out = done.unionByName(whole.select("doc_id", "parts").mapInArrow(assemble, result))
+    joined = whole.select("doc_id", "parts")
     if not with_ids:
-        return out.drop("ids")
+        return done.drop("ids").unionByName(joined.mapInArrow(assemble, result).drop("ids"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pa.array([np.frombuffer(x.as_py(), np.uint32).astype(np.int32) for x in b.column("ids")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], ids], names)
 
-    return out.mapInArrow(listed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    def assemble_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # one Python worker for both steps
+        yield from listed(assemble(batches))
+
+    shown = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    return done.mapInArrow(listed, shown).unionByName(joined.mapInArrow(assemble_lists, shown))
 
 
 def decode_documents(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

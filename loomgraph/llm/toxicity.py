@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,6 +164,8 @@ def fit(
         features = common_features(texts, lambda t: np.unique(np.concatenate([np.empty(0, np.uint64), *grams(t, hashes)])), int(l1 // epochs) + 1)
         hashes.clear(), texts.clear()
         keys, w, bias = train_ftrl(features, y, alpha, beta, l1, l2, epochs)
+        features.clear()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
         keys, w = np.r_[keys.view(np.int64), 0], np.r_[w, bias]
         return pd.DataFrame({"feature": keys, "w": w, "bias": np.r_[np.zeros(len(keys) - 1, bool), True]})
 
