@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import archives, bpe, fingerprint, licenses, mixing, pii, sharding, simhash, topk, toxicity
+from loomgraph.llm import archives, bpe, decontamination, fingerprint, licenses, mixing, pii, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _OP2_SQL = """
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -77,10 +81,49 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
+#: A window's rarest word (of equals the first) says where it may start; its other words may miss their places by two.
+_OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), i AS MATERIALIZED (
+  SELECT DISTINCT item, list_slice(w, p, p + 9) AS x FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)
+), win AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, x FROM (SELECT DISTINCT x FROM i)
+), k AS MATERIALIZED (
+  SELECT n, p, x[p] AS word FROM (SELECT n, x, unnest(range(1, len(x) + 1)) AS p FROM win)
+), t AS MATERIALIZED (
+  SELECT r, p AS pos, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT word FROM k)
+), f AS (
+  SELECT word, count(*) AS c FROM t GROUP BY word
+), h AS (
+  SELECT n, p, word FROM k JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY n ORDER BY c, p) = 1
+), s AS MATERIALIZED (
+  SELECT r, n, pos - p AS start FROM h JOIN t USING (word)
+), m AS (
+  SELECT s.r, s.n, s.start, k.p, min(abs(t.pos - (s.start + k.p))) AS miss
+  FROM s JOIN k USING (n) JOIN t ON t.r = s.r AND t.word = k.word AND t.pos BETWEEN s.start + k.p - 2 AND s.start + k.p + 2 GROUP BY ALL
+), o AS MATERIALIZED (
+  SELECT m.r, m.n, m.start, len(win.x) AS size, max(m.miss) = 0 AS exact FROM m JOIN win USING (n) GROUP BY ALL HAVING count(*) = len(win.x)
+), g AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(start + 1, start + size + 1)) FROM o WHERE exact) GROUP BY r
+), a AS (
+  SELECT o.r, i.item, bool_or(o.exact) AS exact FROM o JOIN win USING (n) JOIN i USING (x) WHERE i.item IS NOT NULL GROUP BY ALL
+), l AS (
+  SELECT r, count(*) FILTER (WHERE exact) AS n_items, string_agg(item, ',' ORDER BY item) FILTER (WHERE exact) AS ids, count(*) AS n_near_items FROM a GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN g USING (r) LEFT JOIN l USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_fingerprint, op5_toxicity, op6_licenses, op7_topk, op8_mixing, op9_pii, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_bpe, op4_fingerprint, op5_toxicity, op6_licenses, op7_topk, op8_mixing, op9_pii, op10_sharding, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2_SQL, "op7_topk": _OP7_SQL}
+    return {"op2_warc": _OP2_SQL, "op7_topk": _OP7_SQL, "op13_decontamination": _OP13_SQL}
