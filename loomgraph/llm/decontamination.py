@@ -78,8 +78,8 @@ def vocabulary_of(windows: DataFrame) -> DataFrame:
 def by_rarity(windows: DataFrame, vocabulary: DataFrame, index: DataFrame) -> DataFrame:
     """``(window, terms)`` of the windows all of whose words the index has: terms, array<struct<n, at, term>>, has their
     words from the rarest on, with their offsets."""
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    placed = windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("at", "word")).join(vocabulary, "word").join(counts, "term")
+    counts = materialize(index.groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term"), "word-counts")
+    placed = windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("at", "word")).join(_small(counts, 256), "word")
     ordered = placed.groupBy("window", "length").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("terms"))
     return ordered.where(F.size("terms") == F.col("length")).select("window", "terms")
 
