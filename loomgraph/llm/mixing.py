@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.rows import ROW, keyed
+from loomgraph.llm.rows import columns_of, keyed, unused
 from loomgraph.scratch import materialize, scratch_scope
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -273,12 +273,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs with each row as often as the mix takes it, all columns.  Rows are told apart by a written key: rows repeated
     under one id, or under none, keep the copies drawn for each.  An empty table gives an empty result.  as_read: see
     ``rows.keyed``."""
-    named = keyed(docs, as_read)
+    named, row = keyed(docs, as_read)
+    copies, copy = unused(named, "__copies"), unused(named, "__copy")
     with scratch_scope(docs.sparkSession) as kept:
-        counted = named.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("n"), ROW)
+        counted = named.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("n"), F.col(row).alias("key"))
         counted = materialize(counted, "mixing-rows")
         taken = balanced_mix(counted, "doc_id", None, "source", row_col="n", size_col="size", **params).where("copies > 0")
-        taken = materialize(counted.select("n", ROW).join(taken.select(F.col("row").alias("n"), F.col("copies").alias("__copies")), "n").drop("n"), "mixing-taken")
+        taken = materialize(counted.select("n", F.col("key").alias(row)).join(taken.select(F.col("row").alias("n"), F.col("copies").alias(copies)), "n").drop("n"), "mixing-taken")
         kept.append(taken)
-    drawn = named.join(taken.hint("shuffle_hash"), ROW)
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    drawn = named.join(taken.hint("shuffle_hash"), row)
+    return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns_of(docs))
