@@ -116,7 +116,7 @@ _query(
 )(lambda s, d: (g := G.part_graph(s, d)).remove_nodes(g.vertices.where("id % 5 = 0")).edges)
 _query(
     "compacted",
-    f"WITH {_ALL}, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM d WHERE degree > 0) SELECT x.n AS src, y.n AS dst, w FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst",
+    f"WITH {_ALL}, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM d WHERE degree > 0), o AS MATERIALIZED (SELECT x.n AS src, y.n AS dst, w FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst) SELECT * FROM o",
 )(lambda s, d: tools.compacted(tools.subgraph(g := G.part_graph(s, d), g.degrees().where("degree > 0")))[0].edges)
 _query(
     "graph_difference",
@@ -169,8 +169,8 @@ _query("triangles_edge", f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, t AS score
 _query("triangles_node", f"WITH {_ALL}, {_TRIANGLES} SELECT id, t AS triangles FROM tv")(lambda s, d: triangles.node_triangles(_whole(s, d)))
 _query(
     "local_clustering",
-    f"WITH {_ALL}, {_TRIANGLES} SELECT id, round(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END, 6) AS score FROM tv JOIN d USING (id)",
-)(lambda s, d: _rounded(triangles.local_clustering(_whole(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT id, CASE WHEN degree > 1 THEN CAST(2 * t AS DOUBLE) / (degree * (degree - 1)) ELSE 0.0 END AS score FROM tv JOIN d USING (id)",
+)(lambda s, d: triangles.local_clustering(_whole(s, d)))
 _query(
     "clustering",
     f"""WITH {_ALL}, {_TRIANGLES} SELECT round(avg(CASE WHEN degree > 1 THEN 2.0 * t / (degree * (degree - 1)) ELSE 0.0 END), 6) AS average_local,
@@ -183,8 +183,8 @@ LEFT JOIN a z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1, 2""",
 )(lambda s, d: triangles.quadrangle_edge_score(_whole(s, d)))
 _query(
     "jaccard_distance",
-    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round(1 - 1.0 * t / (x.degree + y.degree - t), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.jaccard_distance(_whole(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, 1 - CAST(t AS DOUBLE) / (x.degree + y.degree - t) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
+)(lambda s, d: triangles.jaccard_distance(_whole(s, d)))
 _query(
     "adamic_adar_distance",
     f"""WITH {_ALL}, {_TRIANGLES}, u AS (SELECT a AS src, b AS dst, c AS id FROM tri UNION ALL SELECT a, c, b FROM tri UNION ALL SELECT b, c, a FROM tri),
@@ -192,21 +192,21 @@ s AS (SELECT src, dst, 1 / sum(1 / ln(degree)) AS score FROM u JOIN d USING (id)
 )(lambda s, d: _rounded(triangles.adamic_adar_distance(_whole(s, d)), "score"))
 _query(
     "scan_score",
-    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round((t + 1) / sqrt((x.degree + 1) * (y.degree + 1)), 6) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.scan_score(_whole(s, d)), "score"))
+    f"WITH {_ALL}, {_TRIANGLES} SELECT src, dst, (t + 1) / sqrt((x.degree + 1) * (y.degree + 1)) AS score FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst",
+)(lambda s, d: triangles.scan_score(_whole(s, d)))
 _query(
     "chance_corrected_triangles",
-    f"""WITH {_ALL}, {_TRIANGLES} SELECT src, dst, round(CASE WHEN t > 0 THEN 1.0 * t * ((SELECT count(*) FROM v) - 2) / ((x.degree - 1) * (y.degree - 1)) WHEN x.degree = 1 OR y.degree = 1 THEN 1.0 ELSE 0.0 END, 6) AS score
+    f"""WITH {_ALL}, {_TRIANGLES} SELECT src, dst, CASE WHEN t > 0 THEN CAST(t * ((SELECT count(*) FROM v) - 2) AS DOUBLE) / ((x.degree - 1) * (y.degree - 1)) WHEN x.degree = 1 OR y.degree = 1 THEN 1.0 ELSE 0.0 END AS score
 FROM ts JOIN d x ON x.id = src JOIN d y ON y.id = dst""",
-)(lambda s, d: _rounded(triangles.chance_corrected_triangles(_whole(s, d)), "score"))
+)(lambda s, d: triangles.chance_corrected_triangles(_whole(s, d)))
 _query(
     "geometric_mean_score",
-    f"WITH {_ALL} SELECT src, dst, round(w / sqrt(x.wd * y.wd), 6) AS score FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst",
-)(lambda s, d: _rounded(triangles.geometric_mean_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
+    f"WITH {_ALL}, o AS MATERIALIZED (SELECT src, dst, w / sqrt(x.wd * y.wd) AS score FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst) SELECT * FROM o",
+)(lambda s, d: triangles.geometric_mean_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))))
 _query(
     "multiscale_score",
-    f"""WITH {_ALL} SELECT src, dst, round(greatest(1 - pow(1 - w / x.wd, x.degree - 1), 1 - pow(1 - w / y.wd, y.degree - 1)), 6) AS score
-FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst""",
+    f"""WITH {_ALL}, o AS MATERIALIZED (SELECT src, dst, round(greatest(1 - pow(1 - w / x.wd, x.degree - 1), 1 - pow(1 - w / y.wd, y.degree - 1)), 6) AS score
+FROM e JOIN d x ON x.id = src JOIN d y ON y.id = dst) SELECT * FROM o""",
 )(lambda s, d: _rounded(triangles.multiscale_score(g := _whole(s, d), g.edges.select("src", "dst", F.col("w").alias("score"))), "score"))
 _LOCAL = """r AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, rank() OVER (PARTITION BY src ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY src) AS k FROM o)
 SELECT s AS src, t AS dst, round(max(CASE WHEN k > 1 THEN 1 - ln(r) / ln(k) ELSE 1.0 END), 6) AS score FROM r GROUP BY 1, 2"""
