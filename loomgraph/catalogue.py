@@ -586,9 +586,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.join(part, "id").orderBy(F.desc("score"), "id").limit(20)
 
 
+def _all() -> None:
+    from loomgraph import catalogue_more  # noqa: F401 - registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

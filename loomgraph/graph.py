@@ -288,6 +288,24 @@ def order_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges, True)
 
 
+def order_chains(spark: SparkSession, sf_dir: str, days: int = 90) -> PropertyGraph:
+    """Orders, each joined with the same customer's one before if that is at most so many days older; edges carry the later
+    order's ``status``."""
+    o = _read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    e = o.select("o_orderkey", "o_orderstatus", "o_orderdate", F.lag("o_orderkey").over(w).alias("before"), F.lag("o_orderdate").over(w).alias("then"))
+    e = e.where(F.col("o_orderdate") <= F.col("then") + F.expr(f"interval {days} days"))
+    edges = e.select(F.least("before", "o_orderkey").alias("src"), F.greatest("before", "o_orderkey").alias("dst"), F.lit(1.0).alias("w"), F.col("o_orderstatus").alias("status"))
+    return PropertyGraph(o.select(F.col("o_orderkey").alias("id")), edges, False)
+
+
+def urgent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst)``: urgent orders of one day, each with the one before it by key."""
+    o = _read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    e = o.select("o_orderkey", F.lag("o_orderkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey")).alias("before")).where("before is not null")
+    return e.select(F.least("before", "o_orderkey").alias("src"), F.greatest("before", "o_orderkey").alias("dst"))
+
+
 def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Event types that follow each other for a user, weighted by how often; types are numbered by name."""
     e = _read(spark, sf_dir, "events")
