@@ -256,7 +256,7 @@ _SCORED = f"{_MISSING}, {_AUC_PAIRS}, sc AS (SELECT x.degree * y.degree AS score
 def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _whole(spark, sf_dir)
     pairs = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).alias("label")).unionByName(links.missing_links(g).withColumn("label", F.lit(0)))
-    return links.pair_features(g, pairs).select("u", "v", F.col("preferential_attachment").alias("score")).join(pairs, ["u", "v"]).select("score", "label")
+    return links.attachment_scores(g, pairs).select("score", "label")
 
 
 _CURVE = "g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY 1), k AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(pos) FROM g) AS p, (SELECT sum(neg) FROM g) AS n FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import graph as G
-from loomgraph.catalogue import _ALL, _BRAND, _NATION, _labels, _query, _rounded, _whole
-from loomgraph.operators import bmatching, communities, covers, dynamic, partitioning, sampled, traversal
+from loomgraph.catalogue import _ALL, _BRAND, _DIST, _NATION, _TRIANGLES, _labels, _pagerank_sql, _query, _rounded, _whole
+from loomgraph.functions import algebraic
+from loomgraph.operators import bmatching, communities, covers, dynamic, extras, partitioning, sampled, traversal
 from loomgraph.plans import randomize
 from loomgraph.scratch import materialize, scratch_path
 
@@ -84,14 +85,11 @@ def affected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- communities ----------------------------------------------------------------------------------------------------------
 
-_query("leiden")(lambda s, d: partitioning.leiden(_whole(s, d)))
-
-
 @_query("leiden_checks", f"WITH {_ALL} SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS disconnected, true AS better_than_brands FROM v")
 def leiden_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with a community, communities that aren't connected, and whether their modularity is above that of the brands."""
     g = _whole(spark, sf_dir)
-    found = partitioning.leiden(g)
+    found = partitioning.leiden(g, tolerance=1e-3)
     pieces = partitioning.connected_parts(g, found).join(found.withColumnRenamed("label", "community"), "id").groupBy("community").agg(F.count_distinct("label").alias("n"))
     apart = pieces.agg(F.count(F.when(F.col("n") > 1, 1)).alias("disconnected"))
     worth = communities.modularity(g, found).crossJoin(communities.modularity(g, _labels(spark, sf_dir)).withColumnRenamed("modularity", "brands"))
@@ -105,7 +103,7 @@ p AS (SELECT label, sum(wd) / max(m) AS p FROM d JOIN b USING (id), m GROUP BY 1
 pq AS (SELECT label, p, coalesce(q, 0) AS q FROM p LEFT JOIN c USING (label)),
 s AS (SELECT sum(q) AS q, sum((p + q) * log2(p + q)) - 2 * sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) AS r FROM pq) SELECT round(q * log2(q) + r - n, 6) AS codelength FROM s, n""",
 )(lambda s, d: _rounded(partitioning.codelength(_whole(s, d), _labels(s, d)), "codelength"))
-_query("map_equation")(lambda s, d: partitioning.map_equation_communities(_whole(s, d)))
+_query("map_equation")(lambda s, d: partitioning.map_equation_communities(_whole(s, d), tolerance=1e-3))
 
 # -- squares, permanence, covers ------------------------------------------------------------------------------------------
 
@@ -233,3 +231,26 @@ def _walk_sql(length: int, p: float, q: float) -> str:
 
 
 _query("second_order_walks", _walk_sql(5, 0.25, 4.0))(lambda s, d: sampled.second_order_walks(G.nation_graph(s, d), 5, 0.25, 4.0, 2))
+
+# -- edge scores, forests, volumes ----------------------------------------------------------------------------------------
+
+_query("score_ranks", f"WITH {_ALL} SELECT src, dst, row_number() OVER (ORDER BY w DESC, src, dst) - 1 AS rank FROM e")(
+    lambda s, d: extras.score_ranks(_whole(s, d).edges.select("src", "dst", F.col("w").alias("score")), reverse=True)
+)
+_query("same_brand_score", f"WITH {_ALL}, {_BRAND} SELECT src, dst, CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
+    lambda s, d: extras.same_part_score(_whole(s, d), _labels(s, d))
+)
+_query("ball_volumes", f"WITH {_ALL}, {_DIST} SELECT v.id, 1 + count(s) AS n FROM v LEFT JOIN m ON s = v.id AND m.n <= 2 GROUP BY 1")(lambda s, d: extras.ball_volumes(_whole(s, d), 2))
+
+# -- the same by matrices -------------------------------------------------------------------------------------------------
+
+_query("algebraic_triangles", f"WITH {_ALL}, {_TRIANGLES} SELECT count(*) AS triangles FROM tri")(lambda s, d: algebraic.triangles(_whole(s, d)))
+_query("algebraic_pagerank", _pagerank_sql(_NATION, 20))(lambda s, d: _rounded(algebraic.pagerank(G.nation_graph(s, d), rounds=20), "score", digits=9))
+_query(
+    "algebraic_bellman_ford",
+    f"""WITH {_NATION}, r0 AS (SELECT CAST(1 AS BIGINT) AS id, 0.0 AS x), {", ".join(f"r{i + 1} AS MATERIALIZED (SELECT id, min(x) AS x FROM (SELECT id, x FROM r{i} UNION ALL SELECT dst, x + w FROM r{i} JOIN a ON src = id) GROUP BY 1)" for i in range(24))}
+SELECT id, x AS distance FROM v LEFT JOIN r24 USING (id)""",
+)(lambda s, d: algebraic.bellman_ford(G.nation_graph(s, d), 1))
+_query("algebraic_bfs", f"WITH RECURSIVE {_ALL}, r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS n UNION SELECT dst, n + 1 FROM r JOIN a ON src = r.id WHERE n < 20) SELECT v.id, CAST(min(n) AS DOUBLE) AS distance FROM v LEFT JOIN r ON r.id = v.id GROUP BY 1")(
+    lambda s, d: algebraic.bfs(_whole(s, d), 1)
+)

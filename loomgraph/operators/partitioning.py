@@ -2,8 +2,8 @@
 
 A round looks at all nodes at once: each sums its weight to the parts next to it, and a part of the nodes, by a hash that changes
 with the round, goes where that gains most.  A round that doesn't better the objective is taken back and tried with fewer
-nodes; a level ends when an eighth of the nodes gains nothing any more.  So the objective gets better with every round
-that counts, and the search ends by itself.
+nodes.  A level ends when three rounds in turn bring less than the tolerance, or when an eighth of the nodes gains nothing.
+So the objective gets better with every round that counts, and the search ends by itself.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from loomgraph.operators.communities import coarsened, labelled_edges
 from loomgraph.operators.components import star_components
 from loomgraph.scratch import materialize
 
-_LEAST = 1e-9
+_LEAST, _QUIET = 1e-9, 3
 
 
 def _xlogx(x: Column) -> Column:
@@ -55,13 +55,14 @@ def _ties(level: _Level, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return to, materialize(vol.join(cut, "label", "left").na.fill(0.0, ["cut"]), "moves-parts")
 
 
-# -- objectives: what a set of parts is worth, and what a move gains ------------------------------------------------------
+# -- objectives: what parts are worth and the weight between them; what a move gains --------------------------------------
 
 
 def _modularity(gamma: float) -> tuple[Callable, Callable]:
-    def worth(parts: DataFrame, total: float) -> float:
+    def worth(parts: DataFrame, total: float) -> tuple[float, float]:
         inner, expected = F.sum(F.col("vol") - F.col("cut")) / total, gamma * F.sum(F.col("vol") * F.col("vol")) / (total * total)
-        return parts.agg((inner - expected).alias("q")).first()["q"] or 0.0
+        row = parts.agg((inner - expected).alias("q"), F.sum("cut").alias("exits")).first()
+        return row["q"] or 0.0, row["exits"] or 0.0
 
     def gain(total: float, exits: float) -> Column:
         apart = F.col("vol_to") - (F.col("vol_own") - F.col("vol"))
@@ -71,11 +72,12 @@ def _modularity(gamma: float) -> tuple[Callable, Callable]:
 
 
 def _map_equation() -> tuple[Callable, Callable]:
-    def worth(parts: DataFrame, total: float) -> float:
+    def worth(parts: DataFrame, total: float) -> tuple[float, float]:
         """Less the codelength, but for the nodes' own term, which no move changes."""
         cut, vol = F.col("cut") / total, F.col("vol") / total
-        row = parts.agg(F.sum(cut).alias("q"), F.sum(2 * _xlogx(cut) - _xlogx(cut + vol)).alias("rest"))
-        return row.select((F.col("rest") - _xlogx(F.col("q"))).alias("l")).first()["l"] or 0.0
+        sums = parts.agg(F.sum(cut).alias("q"), F.sum(2 * _xlogx(cut) - _xlogx(cut + vol)).alias("rest"), F.sum("cut").alias("exits"))
+        row = sums.select((F.col("rest") - _xlogx(F.col("q"))).alias("l"), "exits").first()
+        return row["l"] or 0.0, row["exits"] or 0.0
 
     def gain(total: float, exits: float) -> Column:
         p = lambda c: F.col(c) / total
@@ -92,15 +94,15 @@ def _map_equation() -> tuple[Callable, Callable]:
 # -- moves ----------------------------------------------------------------------------------------------------------------
 
 
-def _moved(level: _Level, labels: DataFrame, objective: tuple[Callable, Callable], max_rounds: int) -> tuple[DataFrame, float, bool]:
-    """(labels, what they are worth, whether anything moved)."""
+def _moved(level: _Level, labels: DataFrame, objective: tuple[Callable, Callable], max_rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """(labels, by how much they are worth more)."""
     worth, gain = objective
     ties, parts = _ties(level, labels)
-    value, share, quiet, moved_any = worth(parts, level.total), 2, 0, False
+    (value, exits), share, quiet = worth(parts, level.total), 2, 0
+    began = value
     for r in range(max_rounds):
         own = parts.select("label", F.col("vol").alias("vol_own"), F.col("cut").alias("cut_own"))
         there = parts.select(F.col("label").alias("to"), F.col("vol").alias("vol_to"), F.col("cut").alias("cut_to"))
-        exits = parts.agg(F.sum("cut")).first()[0] or 0.0
         kept = ties.join(labels, "id").where("to = label").select("id", F.col("w").alias("own"))
         here = level.nodes.join(labels, "id").join(own, "label").join(kept, "id", "left").na.fill(0.0, ["own"])
         turn = F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(share)) == 0
@@ -109,21 +111,24 @@ def _moved(level: _Level, labels: DataFrame, objective: tuple[Callable, Callable
         new = materialize(labels.join(best, "id", "left").select("id", F.coalesce("m", "label").alias("label"), F.col("m").isNotNull().alias("moved")), "moves")
         if new.where("moved").isEmpty():
             quiet += 1
-            if quiet > 2 * share:  # a hash of the round picks the nodes: some rounds see all of them
+            if quiet == _QUIET:
                 break
             continue
         tried = new.select("id", "label")
         new_ties, new_parts = _ties(level, tried)
-        new_value = worth(new_parts, level.total)
+        new_value, new_exits = worth(new_parts, level.total)
         if new_value > value + _LEAST:
-            labels, ties, parts, value, quiet, moved_any = tried, new_ties, new_parts, new_value, 0, True
+            quiet = quiet + 1 if new_value < value + tolerance else 0
+            labels, ties, parts, value, exits = tried, new_ties, new_parts, new_value, new_exits
+            if quiet == _QUIET:
+                break
         elif share >= 8:
             break
         else:
             share *= 2
     else:
         raise RuntimeError(f"moves didn't settle in {max_rounds} rounds")
-    return labels, value, moved_any
+    return labels, value - began
 
 
 def connected_parts(g: PropertyGraph, labels: DataFrame) -> DataFrame:
@@ -163,21 +168,21 @@ def _named(member: DataFrame) -> DataFrame:
     return member.join(names, "label").select("id", F.col("name").alias("label"))
 
 
-def leiden(g: PropertyGraph, gamma: float = 1.0, max_rounds: int = 200, max_levels: int = 20) -> DataFrame:
+def leiden(g: PropertyGraph, gamma: float = 1.0, tolerance: float = 1e-4, max_rounds: int = 200, max_levels: int = 20) -> DataFrame:
     """``(id, label)``: communities of an undirected graph by the Leiden method; each is connected and named by its smallest
     node.
 
     After the moves of a level each community is refined into well connected subsets; these become the nodes of the
-    next level, which begins with the communities as they are.  Ends when a level moves nothing; raises RuntimeError where
-    rounds or levels don't settle.
+    next level, which begins with the communities as they are.  Ends when a level brings less modularity than the tolerance; raises
+    RuntimeError where rounds or levels don't settle.
     """
     objective = _modularity(gamma)
     member = materialize(g.vertices.select("id", F.col("id").alias("label")), "leiden-member")  # node of the present level
     level, labels = _level(g), g.vertices.select("id", F.col("id").alias("label"))
     for _ in range(max_levels):
-        labels, _, moved = _moved(level, labels, objective, max_rounds)
+        labels, more = _moved(level, labels, objective, max_rounds, tolerance)
         refined = materialize(_refined(level, labels, gamma), "leiden-refined")
-        if not moved or refined.where("id <> label").isEmpty():
+        if more < tolerance or refined.where("id <> label").isEmpty():
             found = member.join(labels.withColumnRenamed("id", "at").withColumnRenamed("label", "community"), F.col("label") == F.col("at")).select("id", F.col("community").alias("label"))
             return materialize(connected_parts(g, _named(found)), "leiden")
         community = refined.join(labels.withColumnRenamed("label", "community"), "id").groupBy(F.col("label").alias("id")).agg(F.min("community").alias("label"))
@@ -199,14 +204,14 @@ def codelength(g: PropertyGraph, labels: DataFrame) -> DataFrame:
     return of_parts.join(F.broadcast(of_nodes)).select((_xlogx(F.col("q")) + F.col("rest") - F.col("nodes")).alias("codelength"))
 
 
-def map_equation_communities(g: PropertyGraph, max_rounds: int = 200, max_levels: int = 20) -> DataFrame:
-    """``(id, label)``: communities of an undirected graph whose codelength the moves of no level lower any more, named by their
-    smallest nodes.  Raises RuntimeError where rounds or levels don't settle."""
+def map_equation_communities(g: PropertyGraph, tolerance: float = 1e-4, max_rounds: int = 200, max_levels: int = 20) -> DataFrame:
+    """``(id, label)``: communities of an undirected graph whose codelength no level's moves lower any more, by the tolerance at
+    least, named by their smallest nodes.  Raises RuntimeError where rounds or levels don't settle."""
     objective = _map_equation()
     member, level = g.vertices.select("id", F.col("id").alias("label")), _level(g)
     for _ in range(max_levels):
-        labels, _, moved = _moved(level, level.graph.vertices.select("id", F.col("id").alias("label")), objective, max_rounds)
-        if not moved:
+        labels, more = _moved(level, level.graph.vertices.select("id", F.col("id").alias("label")), objective, max_rounds, tolerance)
+        if more < tolerance:
             return materialize(_named(member), "map-equation")
         member = materialize(member.join(labels.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")), "map-member")
         level = _level(coarsened(level.graph, labels))

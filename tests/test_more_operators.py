@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, from_edges
-from loomgraph.operators import bmatching, centrality, covers, sampled
+from loomgraph.functions import algebraic
+from loomgraph.operators import bmatching, burning, centrality, covers, extras, sampled, traversal
 from loomgraph.plans import randomize
 
 
@@ -202,3 +203,73 @@ def test_simple_path_visits(sparse):
     g, _, near = sparse
     found = {r["id"]: r["score"] for r in sampled.simple_path_visits(g, 4, 500).collect()}
     assert found[40] == 0 and sum(found.values()) > 42 and max(found, key=found.get) in sorted(near, key=lambda u: -len(near[u]))[:12]
+
+
+def test_fires_and_removals(sparse):
+    g, edges, near = sparse
+    fires, places = burning.forest_fire_score(g, 0.5, 1.0, fires=64).collect(), burning.random_node_edge_score(g, batch=0.4).collect()
+    for found in (fires, places):
+        scores = {(r["src"], r["dst"]): r["score"] for r in found}
+        assert len(scores) == len(edges) and 0 <= min(scores.values()) and max(scores.values()) <= 1
+    assert sorted(r["score"] for r in places) == pytest.approx([k / 90 for k in range(90)])
+    assert max(r["score"] for r in fires) == 1.0
+    assert {r["score"] for r in burning.forest_fire_score(g, 0.0, 1.0).collect()} == {0.0}
+
+
+def test_union_of_maximum_forests(spark, sparse):
+    g, edges, near = sparse
+
+    def joined(a, b, above):
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            for p, q, w in edges:
+                for y in ((q,) if p == x else (p,) if q == x else ()):
+                    if w > above and y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        return b in seen
+
+    want = {(min(a, b), max(a, b)) for a, b, w in edges if not joined(a, b, w)}
+    union = {(r["src"], r["dst"]): r["w"] for r in extras.union_maximum_forest(g).collect()}
+    assert set(union) == want
+    one = extras.random_maximum_forest(g).collect()
+    assert {(r["src"], r["dst"]) for r in one} <= want and len(one) == 42 - len({r["component"] for r in traversal.components(g).collect()})
+
+
+def test_edge_extras(sparse):
+    g, edges, near = sparse
+    scores = g.edges.select("src", "dst", F.col("w").alias("score"))
+    ranks = {(r["src"], r["dst"]): r["rank"] for r in extras.score_ranks(scores, reverse=True).collect()}
+    order = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
+    assert [ranks[e[0], e[1]] for e in order] == list(range(90))
+    kept = extras.locally_sparsified(g, lambda x: x.edges.select("src", "dst", F.col("w").alias("score")), 0.5).edges.count()
+    assert 30 <= kept <= 75
+    assert all(0 <= r["score"] <= 1 for r in extras.algebraic_nearness(g, 4, 5).collect())
+    mates = bmatching.b_matching(g, 1)
+    coarse = extras.matching_coarsened(g, mates)
+    assert coarse.vertices.count() == 42 - mates.count() and coarse.edges.agg(F.sum("w")).first()[0] == sum(e[2] for e in edges)
+    sizes = {r["core"]: r["nodes"] for r in extras.core_sizes(g).collect()}
+    assert sizes[0] == 42 and list(sizes.values()) and all(sizes[k] >= sizes[j] for k in sizes for j in sizes if k < j)
+    assert extras.k_core_communities(g, 2).count() == sizes[2]
+    two = {u: len({u} | near[u] | {x for v in near[u] for x in near[v]}) for u in near}
+    assert {r["id"]: r["n"] for r in extras.ball_volumes(g, 2).collect()} == two
+    a, b = (g.vertices.select("id", (F.col("id") % k).alias("label")) for k in (2, 4))
+    assert abs(extras.sampled_node_rand(a, b, 4000).first()[0] - 0.25) < 0.05 and extras.sampled_node_rand(a, a, 50).first()[0] == 0
+    assert extras.sampled_graph_rand(g, a, a, 0.5).first()[0] == 0
+
+
+def test_algebraic_versions_agree(spark, sparse):
+    g, edges, near = sparse
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(algebraic.bellman_ford(g, 0)) == rows(traversal.dijkstra(g, 0))
+    assert rows(algebraic.bfs(g, 0)) == rows(traversal.bfs(g, 0))
+    want = sum(b in near[a] and c in near[a] and c in near[b] for a, b, c in itertools.combinations(range(42), 3))
+    assert algebraic.triangles(g).first()[0] == want
+    one, two = ({r["id"]: r["score"] for r in x.collect()} for x in (algebraic.pagerank(g, rounds=60), centrality.pagerank(g)))
+    assert one == pytest.approx(two, abs=1e-6)
+    common = {(r["i"], r["j"]): r["v"] for r in algebraic.incidence_counts(g).collect()}
+    assert all(v == len(near[i] & near[j]) for (i, j), v in common.items())
+    down = PropertyGraph(spark.range(3), spark.createDataFrame([(0, 1, 1.0), (1, 2, -2.0), (2, 1, 1.0)], "src long, dst long, w double"), True)
+    with pytest.raises(ValueError):
+        algebraic.bellman_ford(down, 0)
