@@ -237,7 +237,7 @@ _query("second_order_walks", _walk_sql(5, 0.25, 4.0))(lambda s, d: sampled.secon
 _query("score_ranks", f"WITH {_ALL} SELECT src, dst, row_number() OVER (ORDER BY w DESC, src, dst) - 1 AS rank FROM e")(
     lambda s, d: extras.score_ranks(_whole(s, d).edges.select("src", "dst", F.col("w").alias("score")), reverse=True)
 )
-_query("same_brand_score", f"WITH {_ALL}, {_BRAND} SELECT src, dst, CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
+_query("same_brand_score", f"WITH {_ALL}, {_BRAND} SELECT src, dst, CAST(CASE WHEN x.label = y.label THEN 1 ELSE 0 END AS DOUBLE) AS score FROM e JOIN b x ON x.id = src JOIN b y ON y.id = dst")(
     lambda s, d: extras.same_part_score(_whole(s, d), _labels(s, d))
 )
 _query("ball_volumes", f"WITH {_ALL}, {_DIST} SELECT v.id, 1 + count(s) AS n FROM v LEFT JOIN m ON s = v.id AND m.n <= 2 GROUP BY 1")(lambda s, d: extras.ball_volumes(_whole(s, d), 2))
