@@ -587,7 +587,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    from loomgraph import catalogue_more  # noqa: F401 - registers its queries
+    from loomgraph import catalogue_forms, catalogue_more  # noqa: F401 - they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
