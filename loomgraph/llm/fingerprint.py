@@ -1,11 +1,10 @@
 """Document fingerprints from improbable features.
 
-Every 32-byte window of a text is a feature.  Its entropy, in 1000 levels, ranks it: the rarer a level is among all
+Every 8-byte window of a text is a feature.  Its entropy, in 1000 levels, ranks it: the rarer a level is among all
 windows of the corpus, the better its rank.  Windows of hardly any entropy, or of nearly all there can be, tell nothing
-and have no rank.  A feature that ranks first in many of the runs of 32 neighbouring windows that hold it is selected and
-inserted into a Bloom filter; a full filter is chained to a new one.  A fixed number of each text's shortest grams, those
-with the smallest hashes, go along, so that texts with hardly any window have features to compare.  Two texts are as alike as their filters overlap,
-beyond what filters of their fill share by chance.
+and have no rank.  A feature that ranks first in 4 or more of the runs of 16 neighbouring windows that hold it is selected
+and inserted into a Bloom filter; a full filter is chained to a new one.  Windows are that short so that short texts have
+enough of them.  Two texts are as alike as their filters overlap, beyond what filters of their fill share by chance.
 
 Entropies come from integer sums that roll over the text, for a block of many texts at a time.
 """
@@ -26,10 +25,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.scratch import materialize
 
-WINDOW, RUN, LEVELS = 32, 32, 1000
-LOWEST, HIGHEST, POPULAR = 100, 990, 8
-#: Short texts have few windows; so each text's LEAST grams of GRAM bytes with the smallest hashes are features, too.
-LEAST, GRAM = 48, 8
+WINDOW, RUN, LEVELS = 8, 16, 1000
+LOWEST, HIGHEST, POPULAR = 100, 990, 4
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
 _UNRANKED = 1 << 20
 _BLOCK = 1 << 20
@@ -124,29 +121,10 @@ def _selected_of_long(data: bytes, ranks: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def least_grams(data: bytes) -> list[bytes]:
-    """The distinct grams of GRAM bytes with the LEAST smallest hashes, all of them where there are no more."""
-    best = np.empty(0, np.uint64)
-    for lo in range(0, len(data) - GRAM + 1, _BLOCK):
-        raw = np.frombuffer(data, np.uint8, offset=lo, count=min(len(data) - lo, _BLOCK + GRAM - 1))
-        grams = np.ndarray(len(raw) - GRAM + 1, "<u8", raw, strides=(1,))
-        h = (grams ^ (grams >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        h = np.concatenate([best, h])
-        k = LEAST
-        while True:  # the smallest are often repeats of one gram
-            best = np.unique(np.partition(h, k)[:k] if k < len(h) else h)[:LEAST]
-            if k >= len(h) or len(best) == LEAST:
-                break
-            k *= 4
-    return [x.tobytes() for x in best]
-
-
 def digest(data: bytes, starts: np.ndarray) -> str:
     """The chained filters as text: the number of features and the filters, in base 64.  A text too short for any has the
     whole of it as its one feature; an empty text has none."""
     features = [data[s : s + WINDOW] for s in starts.tolist()]
-    features += least_grams(data)
     features = features or ([data] if data else [])
     if not features:
         return "0:"
