@@ -5,8 +5,9 @@ increasing run of their positions fixes them, and the gaps between neighbouring
 where more words are unique.  The share of the template's words that end up aligned is its coverage.
 
 Whole texts are scanned, a window at a time: windows are somewhat longer than the template and overlap, so that any
-stretch that could be the license lies within one.  A window is aligned only if enough of its words are words of the
-template; fewer could not reach the coverage asked for, so nothing is lost.
+stretch that could be the license lies within one.  A window is aligned only if it shares enough words with the template,
+each counted as often as both have it; fewer could not reach the coverage asked for, so nothing is lost.  That bound is
+taken of the text, then of its windows, so texts of some thousand words can be templates.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +93,15 @@ TEMPLATES = {
     "may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
-    "purpose, commercial or non-commercial, and by any means.",
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+    "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication "
+    "to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to "
+    "<https://unlicense.org>",
 }
 #: What tells a license from its neighbours.  A match must have each of these runs of words, word after word.
 NAMING = {
@@ -106,6 +117,14 @@ NAMING = {
     "BSD-3-Clause": ["Neither the name of"],
 }
 
+
+@cache
+def whole_texts() -> dict[str, str]:
+    """The public texts of longer licenses, from the folder license_texts, under the name of the license and ``-text``."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return {f.name.removesuffix(".txt") + "-text": f.read_text("utf-8") for f in files}
+
+
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _LIMIT = 1 << 20
 
@@ -189,9 +208,15 @@ class Scanner:
                 own = [self.vocabulary.get(w, -1) for w in words]
                 runs.append([i for i in range(len(ids)) if ids[i : i + len(own)] == own] + [len(own)])
             self.templates.append((name, ids, runs))
-        self.members = np.zeros((len(self.templates), len(self.vocabulary) + 1), bool)
+        # How often each template has each word; words of none are 0.
+        self.counts = np.zeros((len(self.templates), len(self.vocabulary) + 1), np.int32)
         for k, (_, ids, _) in enumerate(self.templates):
-            self.members[k, ids] = True
+            np.add.at(self.counts[k], ids, 1)
+        self.members = self.counts > 0
+
+    def _shared(self, ids: np.ndarray, k: int) -> int:
+        """How many words the two have in common, repeats counted: no alignment has more."""
+        return int(np.minimum(np.bincount(ids, minlength=self.counts.shape[1]), self.counts[k]).sum())
 
     def _words(self, text: str) -> Iterator[list[str]]:
         at = 0
@@ -210,9 +235,14 @@ class Scanner:
         if not ids.any():
             return []
         out = []
+        have = np.bincount(ids)
+        known = np.flatnonzero(have)
+        most = np.minimum(self.counts[:, known], have[known]).sum(axis=1)
         for k, (name, template, runs) in enumerate(self.templates):
             size = len(template)
             need = self.coverage * size - 1e-9
+            if most[k] < need:
+                continue
             inside = np.concatenate([[0], np.cumsum(self.members[k][ids])])
             if inside[-1] < need:
                 continue
@@ -221,7 +251,9 @@ class Scanner:
             ends = np.minimum(starts + width, len(ids))
             best = (0.0, 0, 0)
             for s, e in zip(starts[inside[ends] - inside[starts] >= need].tolist(), ends[inside[ends] - inside[starts] >= need].tolist(), strict=True):
-                for lo, hi in self._stretches(ids[s:e], size, need, self.members[k]):
+                if self._shared(ids[s:e], k) < need:
+                    continue
+                for lo, hi in self._stretches(ids[s:e], size, need, k):
                     found = align(ids[s + lo : s + hi].tolist(), template)
                     share = len(found) / size
                     if share > best[0] and _named(found, runs):
@@ -230,13 +262,12 @@ class Scanner:
                 out.append((name, *best))
         return out
 
-    @staticmethod
-    def _stretches(ids: np.ndarray, size: int, need: float, member: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _stretches(self, ids: np.ndarray, size: int, need: float, k: int) -> Iterator[tuple[int, int]]:
         """The window, and parts of the template's length where it is dense, so that what comes twice is unique in one."""
         yield 0, len(ids)
-        inside = np.concatenate([[0], np.cumsum(member[ids])])
+        inside = np.concatenate([[0], np.cumsum(self.members[k][ids])])
         for lo in range(0, len(ids) - size + 1, max(1, size // 8)):
-            if inside[lo + size] - inside[lo] >= need:
+            if inside[lo + size] - inside[lo] >= need and self._shared(ids[lo : lo + size], k) >= need:
                 yield lo, lo + size
 
 
@@ -247,11 +278,11 @@ def license_scan(
 
     licenses has each template with ``coverage`` or more, as structs of license, coverage, start_word and end_word: its
     best place in the text's words, the first of equals.  They come by falling coverage, of equals the longest template,
-    then the first; the four columns before show the head of that list (null, with coverage 0, where it is empty), and
+    then the first.  Templates are TEMPLATES and whole_texts(), unless others are given.  The four columns before show the head of that list (null, with coverage 0, where it is empty), and
     n_licenses is its length.  A template counts only where its naming words are aligned.  Null and empty texts have none.
     Repeated rows stay repeated; an empty table gives an empty result; other columns play no part.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen = TEMPLATES | whole_texts() if templates is None else dict(templates)
     names = NAMING if naming is None and templates is None else naming or {}
     order = {name: (-len(words_of(t)), i) for i, (name, t) in enumerate(chosen.items())}
     match = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])

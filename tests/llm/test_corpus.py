@@ -324,6 +324,20 @@ def test_fingerprints(docs, empty):
     assert one["near_next"] == 1.0
 
 
+def test_features_are_windows_that_rank_first(spark):
+    """Against all runs, one by one; and the shortest texts that have a window have a feature."""
+    text = prose(21, 300).encode()
+    levels = fingerprint.entropy_levels(np.frombuffer(text, np.uint8))
+    ranks = fingerprint.rarity_ranks(np.bincount(levels, minlength=fingerprint.LEVELS))
+    n, wins = len(levels), [0] * len(levels)
+    for first in range(1 - fingerprint.RUN, n):
+        run = [(ranks[levels[i]], i) for i in range(max(0, first), min(n, first + fingerprint.RUN)) if ranks[levels[i]] < fingerprint.LEVELS]
+        if run:
+            wins[min(run)[1]] += 1
+    assert fingerprint.selected(levels, ranks).tolist() == [i for i in range(n) if wins[i] >= fingerprint.POPULAR]
+    assert fingerprint.digest(text, fingerprint.selected(levels, ranks)).startswith(f"{sum(w >= fingerprint.POPULAR for w in wins)}:")
+
+
 def test_entropy_levels_equal_brute_force(monkeypatch):
     data = np.random.default_rng(1).choice(np.frombuffer(b"abcdefgh  ", np.uint8), 500)
     levels = fingerprint.entropy_levels(data)
@@ -503,6 +517,33 @@ def test_coverage_near_the_longest_common_subsequence():
         assert all(words[i] == template[j] for i, j in found) and 0.9 * best <= len(found) <= best, name
 
 
+def test_whole_license_texts_are_found_in_long_documents(spark):
+    rng, whole = random.Random(16), licenses.whole_texts()
+    assert {"Apache-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "MPL-2.0-text"} <= set(whole)
+    texts = []
+    for name, text in whole.items():
+        words = [w if rng.random() > 0.02 else "changed" for w in text.split()]
+        texts.append((name, prose(len(texts), 900) + " " + " ".join(words) + " " + prose(90 + len(texts), 900)))
+    half = whole["GPL-3.0-text"]
+    texts.append(("none", half[: len(half) // 2]))
+    found = rows_of(licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")))
+    for i, (name, text) in enumerate(texts):
+        got = {x["license"]: x for x in found[i]["licenses"] if x["license"].endswith("-text")}
+        assert list(got) == ([] if name == "none" else [name]), (name, list(got))
+        for x in got.values():
+            before = len(licenses.words_of(prose(i, 900)))
+            assert x["coverage"] > 0.9 and abs(x["start_word"] - before) < 40 and x["end_word"] <= len(licenses.words_of(text))
+
+
+def test_no_alignment_has_more_than_the_shared_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES | licenses.whole_texts(), 0.8, licenses.NAMING)
+    rng = random.Random(26)
+    for k, (name, template, _) in enumerate(scanner.templates):
+        for other in (template, scanner.templates[k - 1][1]):
+            ids = np.array([x if rng.random() > 0.2 else 0 for x in other], np.int32)
+            assert len(licenses.align(ids.tolist(), template)) <= scanner._shared(ids, k), name
+
+
 def test_alignment():
     assert licenses.align(list("xabcdy"), list("abcd")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert licenses.align(list("aXbaYb"), list("aXbaZb")) == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)]
