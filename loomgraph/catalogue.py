@@ -429,11 +429,24 @@ _query("approximate_hop_plot", None)(lambda s, d: distances.approximate_hop_plot
 _query("approximate_effective_diameter", None)(lambda s, d: distances.approximate_effective_diameter(_whole(s, d)))
 _query("approximate_closeness", None)(lambda s, d: distances.approximate_closeness(_whole(s, d)))
 _query("algebraic_distances", None)(lambda s, d: distances.algebraic_distances(g := _whole(s, d), g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
-_query("core_numbers", None)(lambda s, d: traversal.core_numbers(_whole(s, d)))
+
+
+def _core_sql(rounds: int) -> str:
+    """Bounds from degrees, each lowered to the h-index of its neighbours' bounds, for that many rounds."""
+    steps = ["r0 AS (SELECT id, degree AS core FROM d)"]
+    for i in range(rounds):
+        steps.append(
+            f"h{i} AS (SELECT src AS id, max(least(core, rn)) AS h FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS rn FROM a JOIN r{i} ON id = dst) GROUP BY 1), "
+            f"r{i + 1} AS MATERIALIZED (SELECT id, least(core, coalesce(h, 0)) AS core FROM r{i} LEFT JOIN h{i} USING (id))"
+        )
+    return ", ".join(steps)
+
+
+_query("core_numbers", f"WITH {_ALL}, {_core_sql(30)} SELECT id, core FROM r30")(lambda s, d: traversal.core_numbers(_whole(s, d)))
 _query("spanning_forest", None)(lambda s, d: traversal.minimum_spanning_forest(G.part_graph(s, d)))
 _query("independent_set", None)(lambda s, d: traversal.independent_set(_whole(s, d)))
 _query("heavy_matching", None)(lambda s, d: traversal.heavy_matching(_whole(s, d)))
-_query("bipartite", "SELECT true AS bipartite")(lambda s, d: traversal.bipartition(G.supply_graph(s, d)))
+_query("bipartite", "SELECT count(*) = 0 AS bipartite FROM (SELECT o_custkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE (src < 1000000000) = (dst < 1000000000)")(lambda s, d: traversal.bipartition(G.supply_graph(s, d)))
 _query(
     "topological_levels",
     """WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders), l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey IN (SELECT o FROM o))
