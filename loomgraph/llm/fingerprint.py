@@ -12,6 +12,7 @@ Entropies come from integer sums that roll over the text, for a block of many te
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import materialize
-
 WINDOW, RUN, LEVELS = 8, 16, 1000
 LOWEST, HIGHEST, POPULAR = 100, 990, 4
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -234,53 +232,61 @@ def _compared(rows: list[tuple], ranks: np.ndarray) -> list[tuple]:
     ]
 
 
+def _key(doc_id: int | None, hashed: int) -> tuple[bool, int, int]:
+    """Rows follow each other by rising keys: by descending id, null ids last, then by the hash of the text."""
+    return (doc_id is None, 0 if doc_id is None else ~doc_id, hashed)
+
+
 def with_edits(docs: DataFrame, ranks: Ranks | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its fingerprint, that of its edited text, and how alike it is to that text and to the next document.
 
-    Documents follow each other by descending doc_id (null ids last, then by text), the first follows the last.  Rows are
-    dealt by ranges of that order, so a document's next one is the next row of its task; only the first and the last row
-    of each task meet in a join.  Null texts count as empty.  Repeated rows follow each other.  A single document is its
+    Documents follow each other by descending doc_id (null ids last; rows of one id by a hash of their text, then by text),
+    the first follows the last.  Rows are dealt by ranges of that order, so a document's next one is the next row of its
+    task; a copy of the next range's first row ends each task.  The ranges' first keys are found beforehand from ids and
+    hashes alone, so whole texts are shuffled once and nothing is written between.  docs is read several times and has to
+    give the same rows each time.  Null texts count as empty.  Repeated rows follow each other.  A single document is its
     own next one; an empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((ranks or fit(docs, text_col)).values)
 
-    def batch(kind: str, part: int, rows: list[tuple], text: str | None = None) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
-        n = len(rows)
-        own = [pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array([text] * n, pa.string())]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True))], ["kind", "part", "text", *_NAMES])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId() if TaskContext.get() else 0, None
+        last, closed = None, True
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
-                ids, texts = piece.column(0).to_pylist(), [t or "" for t in piece.column(1).to_pylist()]
+                ids, texts, tails = (c.to_pylist() for c in piece.columns)
                 prints = fingerprint_texts([t.encode("utf-8", "surrogatepass") for t in texts], known.value)
                 rows = list(zip(ids, texts, prints, strict=True))
-                if last is None:
-                    yield batch("first", part, [(rows[0][0], None, None, rows[0][2], None, None, None)], rows[0][1])
-                else:
+                if last is not None:
                     rows.insert(0, last)
-                last = rows[-1]
-                yield batch("done", part, _compared([(*r, *s[1:]) for r, s in zip(rows, rows[1:], strict=False)], known.value))
-        if last is not None:
-            yield batch("last", part, [(last[0], None, None, last[2], None, None, None)], last[1])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = _compared(list(zip(*(c.to_pylist() for c in b.columns), strict=True)), known.value)
-            columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit(""))]
-    dealt = texts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order[0], F.xxhash64("text")).sortWithinPartitions(*order)
-    found = materialize(dealt.mapInArrow(run, f"kind string, part int, text string, {_RESULT}"), "fingerprints")
-    parts = [r["part"] for r in found.where("kind = 'first'").select("part").orderBy("part").collect()]
-    steps = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
-    last = found.where("kind = 'last'").select("part", "doc_id", "text", "fingerprint")
-    first = found.where("kind = 'first'").select(F.col("part").alias("following"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    ends = last.join(steps, "part").join(first, "following").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
-    return found.where("kind = 'done'").select(*_NAMES).unionByName(ends.mapInArrow(close, _RESULT))
+                last, closed = rows[-1], tails[-1]
+                found = _compared([(*r, *s[1:]) for r, s in zip(rows, rows[1:], strict=False)], known.value)
+                columns = zip(*found, strict=True) if found else [()] * len(_KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+        if not closed:
+            raise ValueError("the documents changed between two readings: a range's last row has no next one")
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("hashed", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hashed")]
+    ranges = texts.select("doc_id", "hashed").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    key = F.struct(F.col("doc_id").isNull(), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "hashed", "doc_id")
+    least = ranges.groupBy(F.spark_partition_id()).agg(F.min(key).alias("key")).select("key.doc_id", "key.hashed").collect()
+    if not least:
+        return spark.createDataFrame([], _RESULT)
+    firsts = sorted(((r["doc_id"], r["hashed"]) for r in least), key=lambda x: _key(*x))
+    bounds = [_key(*x) for x in firsts]
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys = map(_key, ids.to_pylist(), hashes.to_pylist())
+        return pa.array([bisect.bisect_right(bounds, k) - 1 for k in keys], pa.int32())
+
+    n = len(firsts)
+    starts = spark.createDataFrame([(*x, (k - 1) % n) for k, x in enumerate(firsts)], "first_id long, first_hashed long, part int")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hashed") == F.col("first_hashed"))
+    tails = texts.join(F.broadcast(starts), is_first).groupBy("part", "doc_id", "hashed").agg(F.min("text").alias("text"))
+    rows = texts.withColumn("part", part_of("doc_id", "hashed")).withColumn("tail", F.lit(False))
+    dealt = rows.unionByName(tails.withColumn("tail", F.lit(True))).repartitionById(n, "part").sortWithinPartitions("tail", *order, "text")
+    return dealt.select("doc_id", "text", "tail").mapInArrow(run, _RESULT)

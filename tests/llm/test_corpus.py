@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from loomgraph import scratch
 from loomgraph.llm import archives, bpe, fingerprint, licenses, mixing, neardup, pii, sharding, simhash, topk, toxicity
 
 WORDS = "the of river stone under light seven walks green window paper quiet over about mountain letters found along road".split()
@@ -324,6 +325,36 @@ def test_fingerprints(docs, empty):
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_the_next_document_is_the_same_however_rows_are_dealt(spark, partitions):
+    """Against plain Python: repeated and null ids, the smallest and the largest id, ranges of one row, more ranges than rows."""
+    rows = [(i, prose(40 + i, 30 + i)) for i in range(12)] + [(5, prose(k, 40)) for k in range(60, 66)] + [(None, prose(k, 40)) for k in range(70, 76)]
+    rows += [(None, None), (None, ""), (5, prose(60, 40)), (-(2**63), prose(80)), (2**63 - 1, prose(81)), (3, None)]
+    signed = [(h + 2**63) % 2**64 - 2**63 for h in (xxhash.xxh64_intdigest((t or "").encode(), 42) for _, t in rows)]
+    ordered = sorted((i is None, -(i or 0), h, t or "") for h, (i, t) in zip(signed, rows, strict=True))
+    order = [(None if null else -i, t) for null, i, _, t in ordered]
+    expected = [(i, len(t), hashlib.sha256(fingerprint.edited_text(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = fingerprint.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r[:3] for r in found), key=repr) == sorted(expected, key=repr)
+
+
+def test_edits_write_no_table_between(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert fingerprint.with_edits(docs).count() == len(TEXTS) + 2
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_documents_that_change_between_readings_are_an_error(spark):
+    changing = F.udf(lambda: random.SystemRandom().randbytes(40).hex()).asNondeterministic()
+    with pytest.raises(Exception, match="changed between two readings"):
+        fingerprint.with_edits(spark.range(20).select(F.col("id").alias("doc_id"), changing().alias("text"))).collect()
+
+
 def test_features_are_windows_that_rank_first(spark):
     """Against all runs, one by one; and the shortest texts that have a window have a feature."""
     text = prose(21, 300).encode()
