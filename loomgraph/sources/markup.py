@@ -1,7 +1,7 @@
 """GraphML, GEXF and GML: marked-up graphs.
 
-Spark's XML reader cuts files at their node and edge elements, so one large file is read in many tasks.  Writers make
-lines in ranges: the parts, in the order of their names, are one document.
+Spark's XML reader finds node and edge elements wherever they are.  Writers make lines in ranges: the parts, in the order of
+their names, are one document, so a part alone has no root element.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ def write_ranges(head: str, rows: list[DataFrame], tail: str, path: str) -> None
 
 
 def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    # The reader that is the default since Spark 4.1 takes a file for a document and stops behind its first element.
+    return spark.read.format("xml").option("useLegacyXMLParser", "true").option("rowTag", tag).schema(schema).load(path)
 
 
 def _says(spark: SparkSession, path: str, attribute: str) -> bool:

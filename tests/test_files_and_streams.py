@@ -90,3 +90,20 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = s.writeStream.outputMode("append").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["n"] for r in spark.sql("select * from win").collect()] == [1]
+
+
+def test_markup_in_parts(spark, tmp_path):
+    """A file that is only the middle of a document has all its elements read, on one line or on several."""
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "part-0").write_text('<graphml>\n<key id="w" for="edge" attr.name="weight"/>\n<graph edgedefault="undirected">\n<node id="0"/>\n<node id="1"/>\n')
+    (tmp_path / "g" / "part-1").write_text("".join(f'<node id="{i}"/>\n' for i in range(2, 6)) + '<edge source="0" target="1"><data key="w">2.0</data></edge>\n')
+    (tmp_path / "g" / "part-2").write_text("".join(f'<edge source="{i}" target="{i + 1}">\n<data key="w">3.0</data>\n</edge>\n' for i in range(1, 5)))
+    (tmp_path / "g" / "part-3").write_text("</graph>\n</graphml>\n")
+    g = markup.read_graphml(spark, str(tmp_path / "g"))
+    assert g.vertices.count() == 6 and sorted(map(tuple, g.edges.select("src", "dst", "w").collect())) == [(0, 1, 2.0)] + [(i, i + 1, 3.0) for i in range(1, 5)]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part-0").write_text('<gexf>\n<graph defaultedgetype="undirected">\n<node id="0"/>\n<node id="1"/>\n')
+    (tmp_path / "x" / "part-1").write_text('<node id="2"/>\n<edge source="0" target="1" weight="2.0"/>\n<edge source="1" target="2" weight="3.0"/>\n')
+    (tmp_path / "x" / "part-2").write_text('<edge source="0" target="2" weight="4.0"/>\n</graph>\n</gexf>\n')
+    g = markup.read_gexf(spark, str(tmp_path / "x"))
+    assert g.vertices.count() == 3 and sorted(map(tuple, g.edges.select("src", "dst", "w").collect())) == [(0, 1, 2.0), (0, 2, 4.0), (1, 2, 3.0)]
